@@ -20,6 +20,7 @@ import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,9 @@ _PROFILES_BROADCAST = 10_000
 class Hashing:
     tables: int = 4
     width: int = 12
-    probes: int = 6
-    cells: float = 3.35  # cell width in distances of the least cosine wanted
+    probes: int = 4
+    cells: float = 3.6  # cell width in distances of the least cosine wanted
+    passes: int = 2  # reranking in so many parts, each freeing its shuffle files
     seed: int = 20240229
     bucket_rows: int = 2048
 
@@ -112,7 +114,7 @@ def _hasher(how: Hashing, min_cos: float, probe: bool):
         mul = rng.integers(1, 2**62, n) * 2 + 1
         whole = np.floor(f)
         part = f - whole
-        bits = np.packbits(x @ rng.normal(size=(x.shape[1], 64)).astype(np.float32) > 0, axis=1)
+        bits = np.packbits(x @ rng.normal(size=(x.shape[1], 128)).astype(np.float32) > 0, axis=1)
         out = []
         for t in range(how.tables):
             at = slice(t * how.width, (t + 1) * how.width)
@@ -126,7 +128,7 @@ def _hasher(how: Hashing, min_cos: float, probe: bool):
                         o = order[:, j - 1]
                         k += np.where(o < how.width, -1, 1) * mul[at][o % how.width]
                     out.append(k)
-        return np.stack(out, axis=1), bits.view(np.int64)[:, 0]
+        return np.stack(out, axis=1), bits.view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,9 +143,8 @@ def _hasher(how: Hashing, min_cos: float, probe: bool):
                 with np.errstate(over="ignore"):
                     k, sig = buckets(x, salt[here])
                 n = k.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(k.ravel()), pa.array(np.repeat(rid[here], n)), pa.array(np.repeat(sig, n))], names=["bucket", "rid", "sig"]
-                )
+                cols = [k.ravel(), *(np.repeat(c, n) for c in (rid[here], sig[:, 0], sig[:, 1]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["bucket", "rid", "s", "t"])
 
     return run
 
@@ -155,19 +156,18 @@ def candidates(vectors: DataFrame, min_cos: float, how: Hashing, keep: int) -> D
     gives each vector that visits it its best ``keep`` of each block.
     """
     src = vectors.select("rid", F.xxhash64("profile").alias("salt"), "vector", F.size("vector").alias("dim"))
-    kind = "bucket long, rid long, sig long"
+    kind = "bucket long, rid long, s long, t long"
     index = src.mapInArrow(_hasher(how, min_cos, False), kind)
     probe = src.mapInArrow(_hasher(how, min_cos, True), kind)
     away = math.acos(max(-1.0, min(1.0, min_cos))) / math.pi
-    bits = min(64, math.ceil(64 * away + 4.5 * math.sqrt(64 * away * (1 - away)) + 1))
+    bits = min(128, math.ceil(128 * away + 3.5 * math.sqrt(128 * away * (1 - away))))  # 1 in 4,000 beyond
     full = cut(index.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > how.bucket_rows))
     dense = not is_empty(full)
     few = full.limit(_PROFILES_BROADCAST + 1).count() <= _PROFILES_BROADCAST if dense else False
     wide = F.broadcast(full.select("bucket")) if few else full.select("bucket")
     i, p = (t.join(wide, "bucket", "left_anti") if dense else t for t in (index, probe))
-    met = i.alias("i").join(p.alias("p"), "bucket").where(
-        (F.col("i.rid") != F.col("p.rid")) & (F.bit_count(F.col("i.sig").bitwiseXOR(F.col("p.sig"))) <= bits)
-    )
+    differ = F.bit_count(F.col("i.s").bitwiseXOR(F.col("p.s"))) + F.bit_count(F.col("i.t").bitwiseXOR(F.col("p.t")))
+    met = i.alias("i").join(p.alias("p"), "bucket").where((F.col("i.rid") != F.col("p.rid")) & (differ <= bits))
     pairs = met.select(F.least("i.rid", "p.rid").alias("a"), F.greatest("i.rid", "p.rid").alias("b"))
     if dense:
         pairs = pairs.unionByName(_dense(index, probe, full, few, vectors, min_cos, how, keep))
@@ -252,12 +252,16 @@ def links(vectors: DataFrame, min_cos: float, how: Hashing = Hashing(), keep: in
     """(a, b, cos), a < b: candidates whose exact cosine, rounded to 4 decimals, reaches ``min_cos``."""
     pairs = cut(candidates(vectors, min_cos, how, keep))
     v = vectors.select("rid", "profile", "vector")
-    at = pairs.join(v, pairs.a == v.rid).select("a", "b", F.col("vector").alias("x"), F.col("profile").alias("p"))
-    at = at.join(v, (at.b == v.rid) & at.p.eqNullSafe(v.profile))
-    at = at.select("a", "b", "x", F.col("vector").alias("y"), F.size("x").alias("dim"))
-    out = cut(at.mapInArrow(_cosines, "a long, b long, cos double").where(F.round("cos", 4) >= min_cos))
+    out = []
+    for k in range(how.passes):
+        mine = lambda c: F.pmod(F.xxhash64(c), F.lit(how.passes)) == k  # noqa: B023, E731
+        at = pairs.where(mine("a")).join(v.where(mine("rid")), F.col("a") == F.col("rid"))
+        at = at.select("a", "b", F.col("vector").alias("x"), F.col("profile").alias("p"))
+        at = at.join(v, (at.b == v.rid) & at.p.eqNullSafe(v.profile))
+        at = at.select("a", "b", "x", F.col("vector").alias("y"), F.size("x").alias("dim"))
+        out.append(cut(at.mapInArrow(_cosines, "a long, b long, cos double").where(F.round("cos", 4) >= min_cos)))
     drop(pairs)
-    return out
+    return reduce(DataFrame.unionByName, out)
 
 
 def most_similar(
