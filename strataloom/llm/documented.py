@@ -149,15 +149,16 @@ def token_documents(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         "head_name": F.first(F.when(named, F.col("prev.text")), True).over(whole),
         "def": F.last(F.when(python & F.col("first") & k.isin(_COMPOUND), F.struct("line", k.alias("k"))), True).over(so_far),
         "def_name": F.last(F.when(python & (F.col("prev.k") == _PY["def"]), F.col("text")), True).over(so_far),
+        "reached": F.last(F.when(~k.isin(_LAYOUT), F.col("end_line")), True).over(so_far),
         "docstring": F.lead(F.when(k == CODE["STR"], F.col("text"))).over(order),
     })
     level = F.col("depth") + F.when(F.col("step") < 0, 1).otherwise(0)
     ends = code.where((F.col("step") != 0)).withColumn("level", level)
     mate = Window.partitionBy("id", "level").orderBy("pos")
-    last_line = F.when(python, F.col("prev.end_line")).otherwise(F.col("line"))
+    last_line = F.when(python, F.col("reached")).otherwise(F.col("line"))
     ends = ends.withColumn("close", F.lead(F.struct(F.col("step").alias("s"), last_line.alias("line"))).over(mate))
     is_def = python & (k == CODE["INDENT"]) & F.col("def.k").isin(_DEF)
-    is_block = brace & (k == CODE["{"]) & F.col("head_name").isNotNull()
+    is_block = brace & (k == CODE["{"]) & (F.col("parens") == 0) & F.col("head_name").isNotNull()
     functions = ends.where((is_def | is_block) & (F.col("close.s") == -1)).select(
         "id", "language",
         F.when(python, F.col("def.line")).otherwise(F.col("head_line")).alias("line"), F.col("close.line").alias("end_line"),
