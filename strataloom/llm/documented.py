@@ -131,14 +131,14 @@ def token_documents(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     comments = heads.join(parts, ["id", "island"]).select("id", "line", "text")
 
     # blocks: an opening and a closing token of one depth follow each other in the window of (text, depth)
-    code = rows.where(k != CODE["COMMENT"])
+    code = rows.where(~k.isin(CODE["COMMENT"], CODE["TAG"]))
     up, down = [CODE["{"], CODE["INDENT"]], [CODE["}"], CODE["DEDENT"]]
     python = F.col("language") == "python"
     brace = F.col("language") != "python"
     step = F.when(python, F.when(k == CODE["INDENT"], 1).when(k == CODE["DEDENT"], -1)).otherwise(F.when(k == CODE["{"], 1).when(k == CODE["}"], -1))
     round_ = F.when(k.isin(CODE["("], CODE["["]), 1).when(k.isin(CODE[")"], CODE["]"]), -1).otherwise(0)
     code = code.withColumns({"step": F.coalesce(step, F.lit(0)), "depth": F.sum(F.coalesce(step, F.lit(0))).over(so_far), "parens": F.sum(round_).over(so_far)})
-    edge = brace & (F.col("parens") <= 0) & k.isin(CODE["{"], CODE["}"], CODE[";"])
+    edge = brace & (F.col("parens") <= 0) & (k.isin(CODE["{"], CODE["}"], CODE[";"]) | ((F.col("language") == "bash") & (k == CODE["NEWLINE"])))
     prev = F.lag(F.struct(k.alias("k"), "text", "end_line")).over(order)
     code = code.withColumns({"statement": F.sum(F.when(edge, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), "prev": prev})
     # a statement's first line, and the name before its first outer parenthesis
