@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from strataloom.llm.lex import CODE, KEYWORD, extension_language, token_rows
+from strataloom.runtime import cut
 
 LANGUAGES = ["python", "javascript", "typescript", "jsx", "tsx", "java", "go", "rust", "c", "bash"]
 _LAYOUT = [CODE[c] for c in ("NEWLINE", "INDENT", "DEDENT", ";", "EOF")]
@@ -117,53 +118,68 @@ def token_documents(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = token_rows(texts.where(F.col("language").isin(LANGUAGES)), "COMMENT|STR|IDENT")
     k = F.col("class")
     order = Window.partitionBy("id").orderBy("pos")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    comment = (k == CODE["COMMENT"]) & F.col("first")
-
-    # comment islands; layout tokens stand between a comment and what follows it
-    seen = rows.where(~k.isin(_LAYOUT))
-    before = F.lag(F.struct(comment.alias("c"), "end_line")).over(order)
-    seen = seen.withColumns({"comment": comment, "near": before["c"] & (before["end_line"] >= F.col("line") - 1)})
-    seen = seen.withColumn("island", F.sum(F.when(F.col("comment") & ~F.coalesce("near", F.lit(False)), 1).otherwise(0)).over(so_far))
-    parts = seen.where("comment").groupBy("id", "island").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("parts"))
-    parts = parts.select("id", "island", F.array_join(F.transform("parts", lambda p: p.text), "\n").alias("text"))
-    heads = seen.where("first AND NOT comment AND near").select("id", "line", "island")
-    comments = heads.join(parts, ["id", "island"]).select("id", "line", "text")
-
-    # blocks: an opening and a closing token of one depth follow each other in the window of (text, depth)
-    code = rows.where(~k.isin(CODE["COMMENT"], CODE["TAG"]))
-    up, down = [CODE["{"], CODE["INDENT"]], [CODE["}"], CODE["DEDENT"]]
+    so_far, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
     python = F.col("language") == "python"
-    brace = F.col("language") != "python"
+    is_code = ~k.isin(CODE["COMMENT"], CODE["TAG"])
     step = F.when(python, F.when(k == CODE["INDENT"], 1).when(k == CODE["DEDENT"], -1)).otherwise(F.when(k == CODE["{"], 1).when(k == CODE["}"], -1))
     round_ = F.when(k.isin(CODE["("], CODE["["]), 1).when(k.isin(CODE[")"], CODE["]"]), -1).otherwise(0)
-    code = code.withColumns({"step": F.coalesce(step, F.lit(0)), "depth": F.sum(F.coalesce(step, F.lit(0))).over(so_far), "parens": F.sum(round_).over(so_far)})
-    edge = brace & (F.col("parens") <= 0) & (k.isin(CODE["{"], CODE["}"], CODE[";"]) | ((F.col("language") == "bash") & (k == CODE["NEWLINE"])))
-    prev = F.lag(F.struct(k.alias("k"), "text", "end_line")).over(order)
-    code = code.withColumns({"statement": F.sum(F.when(edge, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), "prev": prev})
-    # a statement's first line, and the name before its first outer parenthesis
-    named = (k == CODE["("]) & (F.col("parens") == 1) & (F.col("prev.k") == CODE["IDENT"])
-    whole = Window.partitionBy("id", "statement").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    code = code.withColumns({
-        "head_line": F.first(F.when(k != CODE["EOF"], F.col("line")), True).over(whole),
-        "head_name": F.first(F.when(named, F.col("prev.text")), True).over(whole),
+    # all windows have one partitioning and order, so the tokens are sorted once
+    t = rows.withColumns({"comment": (k == CODE["COMMENT"]) & F.col("first"), "step": F.coalesce(step, F.lit(0))})
+    t = t.withColumns({
+        # what stands before, apart from layout tokens, and apart from comments
+        "above": F.last(F.when(~k.isin(_LAYOUT), F.struct("comment", "end_line")), True).over(before),
+        "prev": F.last(F.when(is_code, F.struct(k.alias("k"), "text")), True).over(before),
+        "depth": F.sum("step").over(so_far), "parens": F.sum(round_).over(so_far),
+        "next": F.lead(F.when(k == CODE["STR"], F.col("text"))).over(order),
+        "reached": F.last(F.when(is_code & ~k.isin(_LAYOUT), F.col("end_line")), True).over(so_far),
         "def": F.last(F.when(python & F.col("first") & k.isin(_COMPOUND), F.struct("line", k.alias("k"))), True).over(so_far),
-        "def_name": F.last(F.when(python & (F.col("prev.k") == _PY["def"]), F.col("text")), True).over(so_far),
-        "reached": F.last(F.when(~k.isin(_LAYOUT), F.col("end_line")), True).over(so_far),
-        "docstring": F.lead(F.when(k == CODE["STR"], F.col("text"))).over(order),
     })
-    level = F.col("depth") + F.when(F.col("step") < 0, 1).otherwise(0)
-    ends = code.where((F.col("step") != 0)).withColumn("level", level)
-    mate = Window.partitionBy("id", "level").orderBy("pos")
-    last_line = F.when(python, F.col("reached")).otherwise(F.col("line"))
-    ends = ends.withColumn("close", F.lead(F.struct(F.col("step").alias("s"), last_line.alias("line"))).over(mate))
+    edge = ~python & (F.col("parens") <= 0) & (k.isin(CODE["{"], CODE["}"], CODE[";"]) | ((F.col("language") == "bash") & (k == CODE["NEWLINE"])))
+    t = t.withColumns({
+        "near": F.col("above.comment") & (F.col("above.end_line") >= F.col("line") - 1),
+        "edge": F.coalesce(edge, F.lit(False)),
+        "named": F.coalesce(~python & (k == CODE["("]) & (F.col("parens") == 1) & (F.col("prev.k") == CODE["IDENT"]), F.lit(False)),
+        "def_name": F.when(python & (F.col("prev.k") == _PY["def"]) & is_code, F.col("text")),
+    })
+    t = t.withColumns({
+        "island": F.sum(F.when(F.col("comment") & ~F.coalesce("near", F.lit(False)), 1).otherwise(0)).over(so_far),
+        "statement": F.sum(F.when(F.col("edge"), 1).otherwise(0)).over(before),
+        "def_name": F.last("def_name", True).over(so_far),
+    })
+    # the first token of a statement, and its first outer parenthesis after a name
+    opened = F.coalesce("statement", F.lit(0))
+    t = t.withColumn("statement", opened).withColumns({
+        "start": F.last(F.when(is_code & ~k.isin(_LAYOUT) & ~F.coalesce("edge", F.lit(False)), F.struct("statement", "line")), True).over(before),
+        "names": F.sum(F.when(F.col("named"), 1).otherwise(0)).over(so_far),
+    })
+    begins = is_code & ~k.isin(_LAYOUT) & (F.col("start.statement").isNull() | (F.col("start.statement") != F.col("statement")))
+    t = t.withColumn("head", F.last(F.when(begins, F.struct("line", (F.col("names") - F.when(F.col("named"), 1).otherwise(0)).alias("names"))), True).over(so_far))
+    first_name = F.col("named") & (F.col("names") == F.col("head.names") + 1)
+    t = t.withColumn("name", F.last(F.when(first_name, F.struct("statement", F.col("prev.text").alias("text"))), True).over(so_far))
+    attached = F.col("first") & ~F.col("comment") & ~k.isin(_LAYOUT) & F.coalesce("near", F.lit(False))
     is_def = python & (k == CODE["INDENT"]) & F.col("def.k").isin(_DEF)
-    is_block = brace & (k == CODE["{"]) & (F.col("parens") == 0) & F.col("head_name").isNotNull()
-    functions = ends.where((is_def | is_block) & (F.col("close.s") == -1)).select(
-        "id", "language",
-        F.when(python, F.col("def.line")).otherwise(F.col("head_line")).alias("line"), F.col("close.line").alias("end_line"),
-        F.when(python, F.col("def_name")).otherwise(F.col("head_name")).alias("name"), F.when(python, F.col("docstring")).alias("docstring"),
+    is_block = ~python & (k == CODE["{"]) & (F.col("parens") == 0) & (F.col("name.statement") == F.col("statement"))
+    kept = t.where(F.col("comment") | attached | (F.col("step") != 0)).select(
+        "id", "language", "pos", "line", "comment", attached.alias("attached"), "island", "step",
+        F.when(F.col("comment"), F.col("text")).alias("text"), (F.col("depth") + F.when(F.col("step") < 0, 1).otherwise(0)).alias("level"),
+        F.when(python, F.col("reached")).otherwise(F.col("line")).alias("last_line"), F.coalesce(is_def | is_block, F.lit(False)).alias("opens"),
+        F.when(python, F.col("def.line")).otherwise(F.col("head.line")).alias("head_line"),
+        F.when(python, F.col("def_name")).otherwise(F.col("name.text")).alias("name"), F.when(python, F.col("next")).alias("docstring"),
     )
+    kept = cut(kept)
+
+    # comment islands, and the lines they end above
+    parts = kept.where("comment").groupBy("id", "island").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("parts"))
+    parts = parts.select("id", "island", F.array_join(F.transform("parts", lambda p: p.text), "\n").alias("text"))
+    comments = kept.where("attached").select("id", "line", "island").join(parts, ["id", "island"]).select("id", "line", "text")
+
+    # blocks: an opening and a closing token of one depth follow each other in the window of (text, depth)
+    ends = kept.where("step <> 0")
+    mate = Window.partitionBy("id", "level").orderBy("pos")
+    ends = ends.withColumn("close", F.lead(F.struct(F.col("step").alias("s"), F.col("last_line").alias("line"))).over(mate))
+    functions = ends.where(F.col("opens") & (F.col("close.s") == -1)).select(
+        "id", "language", F.col("head_line").alias("line"), F.col("close.line").alias("end_line"), "name", "docstring"
+    )
     return comments, functions
 
 
@@ -184,7 +200,7 @@ def documented_callables(files: DataFrame, sources: DataFrame, callables: DataFr
     however many files have it.
     """
     at = files.select("repo", "path", "hash", extension_language(F.col("path")).alias("language")).where(F.col("language").isin(LANGUAGES))
-    at = at.withColumn("id", F.concat_ws(":", "language", "hash"))
+    at = at.withColumn("id", F.concat_ws(":", "hash", "language"))
     need = at.select("id", "hash", "language").distinct()
     texts = need.join(sources.select(F.col("hash").alias("of"), "source"), F.col("hash") == F.col("of")).select("id", "language", "source")
     comments, functions = token_documents(texts)

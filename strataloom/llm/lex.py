@@ -221,10 +221,9 @@ def token_rows(texts: DataFrame, keep: str, partitions: int | None = None) -> Da
     wanted = [bool(re.fullmatch(keep, c)) for c in CLASSES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.struct([("k", pa.int16()), ("l", pa.int32()), ("e", pa.int32()), ("f", pa.bool_()), ("t", pa.string())])
         for b in batches:
             ids, langs, offs = [], [], [0]
-            ks, ls, es, fs, ts = [], [], [], [], []
+            ks, ls, ns, ts = [], [], [], []
             for i, lang, text in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 if text is None or lang not in _LEXERS:
                     continue
@@ -233,25 +232,25 @@ def token_rows(texts: DataFrame, keep: str, partitions: int | None = None) -> Da
                 s, e = np.array(start, np.int64), np.array(end, np.int64)
                 line = np.searchsorted(feeds, s) + 1
                 last = np.searchsorted(feeds, np.maximum(e - 1, s)) + 1
-                begin = np.concatenate([[0], feeds + 1])[line - 1] if len(s) else s
-                cls.append(CODE["EOF"])
-                ks += cls
-                total = len(feeds) + 1
-                ls += [*line.tolist(), total]
-                es += [*last.tolist(), total]
-                fs += [not text[x:y].strip("﻿ \t\f\r") for x, y in zip(begin.tolist(), start, strict=True)] + [False]
-                ts += [text[x:y] if wanted[k if k < KEYWORD0 else 2] else None for k, x, y in zip(cls, start, end, strict=False)] + [None]
+                begin = np.concatenate([[0], feeds + 1])[line - 1].tolist() if len(s) else []
+                ks += [2 * k + (not text[x:y].strip("\ufeff \t\f\r")) for k, x, y in zip(cls, begin, start, strict=True)]
+                ks.append(2 * CODE["EOF"])
+                ls += [*line.tolist(), len(feeds) + 1]
+                ns += [*(last - line).tolist(), 0]
+                ts += [text[x:y] if wanted[k if k < KEYWORD0 else 2] else None for k, x, y in zip(cls, start, end, strict=True)] + [None]
                 ids.append(i)
                 langs.append(lang)
                 offs.append(len(ks))
-            items = pa.StructArray.from_arrays([pa.array(ks, pa.int16()), pa.array(ls, pa.int32()), pa.array(es, pa.int32()), pa.array(fs, pa.bool_()), pa.array(ts, pa.string())], fields=list(kind))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(langs, pa.string()), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), items)], names=["id", "language", "tokens"])
+            o = pa.array(offs, pa.int32())
+            lists = [pa.ListArray.from_arrays(o, pa.array(v, t)) for v, t in ((ks, pa.int16()), (ls, pa.int32()), (ns, pa.int32()), (ts, pa.string()))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(langs, pa.string()), *lists], names=["id", "language", "k", "l", "n", "t"])
 
     src = texts.select(F.col("id").cast("string").alias("id"), "language", "source")
-    lexed = src.mapInArrow(run, "id string, language string, tokens array<struct<k:short,l:int,e:int,f:boolean,t:string>>")
+    lexed = src.mapInArrow(run, "id string, language string, k array<short>, l array<int>, n array<int>, t array<string>")
     lexed = lexed.repartition(partitions, "id") if partitions else lexed.repartition("id")
-    out = lexed.select("id", "language", F.posexplode("tokens").alias("pos", "x"))
-    return out.select("id", "language", "pos", F.col("x.k").alias("class"), F.col("x.l").alias("line"), F.col("x.e").alias("end_line"), F.col("x.f").alias("first"), F.col("x.t").alias("text"))
+    out = lexed.select("id", "language", F.posexplode(F.arrays_zip("k", "l", "n", "t")).alias("pos", "x"))
+    first, line = F.col("x.k") % 2 == 1, F.col("x.l")
+    return out.select("id", "language", "pos", F.shiftright("x.k", 1).alias("class"), line.alias("line"), (line + F.col("x.n")).alias("end_line"), first.alias("first"), F.col("x.t").alias("text"))
 
 
 def extension_language(path):
