@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package with QUERIES and ORACLES.
-MODULES: list[str] = ["similar_queries", "cluster_queries", "split_queries", "handwritten_queries", "residue_queries", "documented_queries", "token_queries"]
+MODULES: list[str] = ["similar_queries", "cluster_queries", "split_queries", "handwritten_queries", "residue_queries", "documented_queries", "token_queries", "syntax_queries"]
 
 
 def _all(what: str) -> dict:
