@@ -115,7 +115,7 @@ def token_documents(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``line``, for every line that starts with code. functions: id, language, line, end_line,
     name, docstring: every named function with a body in brackets or indented.
     """
-    rows = token_rows(texts.where(F.col("language").isin(LANGUAGES)), "COMMENT|STR|IDENT")
+    rows = token_rows(texts.where(F.col("language").isin(LANGUAGES)), "COMMENT|STR|IDENT", thin=True)
     k = F.col("class")
     order = Window.partitionBy("id").orderBy("pos")
     so_far, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
@@ -131,7 +131,7 @@ def token_documents(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         "prev": F.last(F.when(is_code, F.struct(k.alias("k"), "text")), True).over(before),
         "depth": F.sum("step").over(so_far), "parens": F.sum(round_).over(so_far),
         "next": F.lead(F.when(k == CODE["STR"], F.col("text"))).over(order),
-        "reached": F.last(F.when(is_code & ~k.isin(_LAYOUT), F.col("end_line")), True).over(so_far),
+        "reached": F.last(F.when(k == CODE["NEWLINE"], F.col("line")), True).over(so_far),
         "def": F.last(F.when(python & F.col("first") & k.isin(_COMPOUND), F.struct("line", k.alias("k"))), True).over(so_far),
     })
     edge = ~python & (F.col("parens") <= 0) & (k.isin(CODE["{"], CODE["}"], CODE[";"]) | ((F.col("language") == "bash") & (k == CODE["NEWLINE"])))

@@ -208,13 +208,20 @@ def lex(text: str, language: str) -> tuple[list[int], list[int], list[int]]:
     return cls, start, end
 
 
-def token_rows(texts: DataFrame, keep: str, partitions: int | None = None) -> DataFrame:
+_STRUCTURE = {CODE[c] for c in ("COMMENT", "(", ")", "[", "]", "{", "}", ";", "NEWLINE", "INDENT", "DEDENT")}
+_PY_DEF = KEYWORD["python"]["def"]
+_PY_BLOCKS = {KEYWORD["python"][w] for w in "async class def elif else except finally for if try while with".split()}
+
+
+def token_rows(texts: DataFrame, keep: str, thin: bool = False, partitions: int | None = None) -> DataFrame:
     """(id, language, pos, class, line, end_line, first, text) with one row per token.
 
     texts: id, language, source. ``keep`` is a regular expression of the class names whose
     text is kept (others have null); words that are reserved are IDENT here for ``keep``.
     ``first`` says that nothing but white space stands before the token on its line. Null
-    texts and languages without a lexer have no rows. The tokens of a text travel as one
+    texts and languages without a lexer have no rows. ``thin`` leaves out tokens that
+    bear no structure: kept are the first token of each line, comments, brackets, statement
+    ends and layout, words that open blocks, and names before a parenthesis or after def. The tokens of a text travel as one
     array and are exploded after the texts are spread by id, so windows by id need no
     further exchange. The rows of a text end with EOF.
     """
@@ -233,7 +240,14 @@ def token_rows(texts: DataFrame, keep: str, partitions: int | None = None) -> Da
                 line = np.searchsorted(feeds, s) + 1
                 last = np.searchsorted(feeds, np.maximum(e - 1, s)) + 1
                 begin = np.concatenate([[0], feeds + 1])[line - 1].tolist() if len(s) else []
-                ks += [2 * k + (not text[x:y].strip("\ufeff \t\f\r")) for k, x, y in zip(cls, begin, start, strict=True)]
+                first = [not text[x:y].strip("\ufeff \t\f\r") for x, y in zip(begin, start, strict=True)]
+                if thin:
+                    after = [*cls[1:], -1]
+                    own = [f or k in _STRUCTURE or (k == CODE["IDENT"] and (z == CODE["("] or (i and cls[i - 1] == _PY_DEF and lang == "python"))) or (lang == "python" and k in _PY_BLOCKS) for i, (f, k, z) in enumerate(zip(first, cls, after, strict=False))]
+                    here = np.flatnonzero(own)
+                    cls, start, end, first = ([v[j] for j in here] for v in (cls, start, end, first))
+                    line, last = line[here], last[here]
+                ks += [2 * k + f for k, f in zip(cls, first, strict=True)]
                 ks.append(2 * CODE["EOF"])
                 ls += [*line.tolist(), len(feeds) + 1]
                 ns += [*(last - line).tolist(), 0]
