@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataloom.plans import hierarchies
+from strataloom.plans import hierarchies, repository, vectors
 
-_MODULES = [hierarchies]
+_MODULES = [hierarchies, repository, vectors]
 
 
 def queries() -> dict:
