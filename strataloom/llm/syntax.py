@@ -15,6 +15,7 @@ import json
 import re
 import warnings
 from collections.abc import Iterator
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -522,70 +523,77 @@ def invalid_texts(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(langs, pa.string()), *lists], names=["id", "language", "r", "d", "l"])
 
     judged = texts.where(F.col("language").isin(LANGUAGES)).select(F.col("id").cast("string").alias("id"), "language", "source")
-    lexed = judged.mapInArrow(run, "id string, language string, r array<short>, d array<byte>, l array<int>").repartition("id")
-    t = lexed.select("id", "language", F.posexplode(F.arrays_zip("r", "d", "l")).alias("pos", "x"))
-    t = t.select("id", "language", "pos", F.col("x.r").cast("int").alias("role"), F.col("x.d").cast("int").alias("kind"), F.col("x.l").alias("line"))
-    order = Window.partitionBy("id").orderBy("pos")
+    key = F.unhex(F.md5("id")).alias("key")  # sorted and shuffled in place of the longer id
+    lexed = judged.mapInArrow(run, "id string, language string, r array<short>, d array<byte>, l array<int>")
+    code = F.create_map(*[F.lit(x) for i, lang in enumerate(LANGUAGES) for x in (lang, i)])
+    lexed = lexed.select(key, F.element_at(code, F.col("language")).alias("lang"), "r", "d", "l").repartition("key")
+    t = lexed.select("key", "lang", F.posexplode(F.arrays_zip("r", "d", "l")).alias("pos", "x"))
+    t = t.select("key", "lang", "pos", F.col("x.r").cast("int").alias("role"), F.col("x.d").cast("int").alias("kind"), F.col("x.l").alias("line"))
+    order = Window.partitionBy("key").orderBy("pos")
     so_far, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
     rounds = F.when(F.col("kind").isin(1, 2), 1).when(F.col("kind").isin(-1, -2), -1).otherwise(0)
     t = t.withColumns({
-        "prev": F.lag("role").over(order), "fresh": F.coalesce(F.lag("line").over(order) < F.col("line"), F.lit(False)),
+        "prev": F.lag("role").over(order), "prev2": F.lag("role", 2).over(order), "fresh": F.lag("line").over(order) < F.col("line"),
         "depth": F.sum(F.signum("kind")).over(so_far).cast("int"), "parens": F.sum(rounds).over(so_far),
     })
-    edge = (F.col("parens") <= 0) & F.col("role").isin([ROLE[x] for x in (";", "{", "}", "NEWLINE", "EOF")])
-    t = t.withColumns({"edge": edge, "statement": F.coalesce(F.sum(F.when(edge, 1).otherwise(0)).over(before), F.lit(0))})
-
-    # one pass over all tokens: pairs that no grammar has, and what the other checks need
-    permitted = F.broadcast(spark.createDataFrame(_pairs(), "lang string, a int, b int, n boolean"))  # fixed by the grammars
-    wrong = t.where("prev IS NOT NULL").join(
-        permitted, (t.language == permitted.lang) & (t.prev == permitted.a) & (t.role == permitted.b) & (t.fresh == permitted.n), "left_anti"
-    )
-    wrong = wrong.select("id", "language", "line", F.lit("Token cannot follow the one before it").alias("message"))
-
-    brackets = t.where("kind <> 0 OR role = %d" % ROLE["EOF"])
-    brackets = brackets.withColumn("level", F.col("depth") + F.when(F.col("kind") < 0, 1).otherwise(0))
-    mate = Window.partitionBy("id", "level").orderBy("pos")
-    brackets = brackets.withColumn("opener", F.lag("kind").over(mate))
-    unnested = ((F.col("kind") < 0) & ~F.coalesce(F.col("opener") == -F.col("kind"), F.lit(False))) | ((F.col("role") == ROLE["EOF"]) & (F.col("depth") != 0))
-    nested = brackets.where(unnested).select("id", "language", "line", F.lit("Brackets or blocks do not nest").alias("message"))
-
-    needs = [(lang, ROLE[w], [ROLE[x] for x in of], last) for lang, w, of, last in PRODUCTIONS]
-    want = F.broadcast(spark.createDataFrame(needs, "lang string, word int, any array<int>, last boolean"))
-    word = F.when(F.col("role").isin(sorted({n[1] for n in needs})) & (F.col("parens") <= 0), F.col("role"))
-    parts = t.groupBy("id", "language", "statement").agg(
-        F.min(F.struct("pos", word.alias("w"))).alias("first"), F.min(F.when(word.isNotNull(), F.struct("pos", word.alias("w"), "line"))).alias("head"),
-        F.collect_set("role").alias("has"), F.max("line").alias("line"),
-    )
-    parts = parts.where("head IS NOT NULL")
-    lacking = parts.join(want, (parts.language == want.lang) & (F.col("head.w") == want.word))
-    lacking = lacking.where(~F.arrays_overlap("has", "any") & (~F.col("last") | F.array_contains("has", ROLE["EOF"])))
-    lacking = lacking.select("id", "language", F.col("head.line").alias("line"), F.lit("Statement is not complete").alias("message"))
-
-    # Python: an indented block stands after a colon and nowhere else
-    py = t.where("language = 'python'").withColumns({"prev2": F.lag("role", 2).over(order)})
+    ends = [ROLE[x] for x in (";", "{", "}", "NEWLINE", "EOF")]
+    edge = (F.col("parens") <= 0) & F.col("role").isin(ends)
+    t = t.withColumn("edge", edge).withColumn("statement", F.coalesce(F.sum(F.when(F.col("edge"), 1).otherwise(0)).over(before), F.lit(0)))
+
+    # one pass over all tokens finds the pairs that no grammar has and keeps what the other checks look at
+    number = {lang: i for i, lang in enumerate(LANGUAGES)}
+    pairs = [(number[lang], a, b, n) for lang, a, b, n in _pairs()]
+    permitted = F.broadcast(spark.createDataFrame(pairs, "plang int, a int, b int, n boolean"))  # fixed by the grammars
+    first = F.col("prev").isNull()
+    wrong = t.join(permitted, (t.lang == permitted.plang) & (t.prev == permitted.a) & (t.role == permitted.b) & (t.fresh == permitted.n), "left_anti")
+    wrong = wrong.where(~first).select("key", "lang", "pos", "role", "kind", "line", "depth", "parens", "edge", "statement", "prev", "prev2", F.lit(True).alias("wrong"))
+    python = F.col("lang") == number["python"]
     colon, newline, indent = ROLE[":"], ROLE["NEWLINE"], ROLE["INDENT"]
-    block = ((F.col("prev") == newline) & (F.col("prev2") == colon)) != (F.col("role") == indent)
-    blocks = py.where((F.col("prev") == newline) & block).select("id", "language", "line", F.lit("Block is not where it should be").alias("message"))
-    # a try has a handler; a decorator a definition
-    tries = py.groupBy("id", "language").agg(
-        F.sum(F.when(F.col("role") == ROLE["try"], 1).otherwise(0)).alias("t"), F.sum(F.when(F.col("role").isin(ROLE["except"], ROLE["finally"]), 1).otherwise(0)).alias("h"), F.max("line").alias("line")
-    ).where("t > h").select("id", "language", "line", F.lit("Statement is not complete").alias("message"))
+    # Python: an indented block stands after a colon and nowhere else
+    block = python & (F.col("prev") == newline) & (((F.col("prev2") == colon) & (F.col("role") != indent)) | ((F.col("prev2") != colon) & (F.col("role") == indent)))
+    needs = [(number[lang], ROLE[w], [ROLE[x] for x in of], last) for lang, w, of, last in PRODUCTIONS]
+    looked = {(lang, x) for lang, w, of, _ in needs for x in (w, *of)} | {(number["css"], ROLE[":"])} | {(number["python"], ROLE[w]) for w in ("try", "except", "finally")}
+    look = (F.col("lang") * 1000 + F.col("role")).isin(sorted(lang * 1000 + r for lang, r in looked))
+    loose = (F.col("kind") != 0) | (F.col("role") == ROLE["EOF"]) | (F.col("edge") & (F.col("lang") == number["css"]))
+    kept = t.where(loose | look | F.coalesce(block, F.lit(False))).select(
+        "key", "lang", "pos", "role", "kind", "line", "depth", "parens", "edge", "statement", "prev", "prev2", F.lit(False).alias("wrong")
+    )
+    faulty = F.coalesce(block, F.lit(False))
+    both = cut(kept.unionByName(wrong).withColumn("faulty", F.col("wrong") | faulty).drop("prev2")).repartition("key")
+    told = lambda df, text: df.select("key", "line", F.lit(text).alias("message"))
+    faults = [told(both.where("faulty AND wrong"), "Token cannot follow the one before it"), told(both.where("faulty AND NOT wrong"), "Block is not where it should be")]
+    rows = both.where("NOT wrong")
+
+    brackets = rows.where((F.col("kind") != 0) | (F.col("role") == ROLE["EOF"])).withColumn("level", F.col("depth") + F.when(F.col("kind") < 0, 1).otherwise(0))
+    brackets = brackets.withColumn("opener", F.lag("kind").over(Window.partitionBy("key", "level").orderBy("pos")))
+    unnested = ((F.col("kind") < 0) & ~F.coalesce(F.col("opener") == -F.col("kind"), F.lit(False))) | ((F.col("role") == ROLE["EOF"]) & (F.col("depth") != 0))
+    faults.append(told(brackets.where(unnested), "Brackets or blocks do not nest"))
 
-    # style sheets: a declaration has a colon
-    css = t.where("language = 'css'").groupBy("id", "language", "statement").agg(
-        F.collect_set("role").alias("has"), F.count("*").alias("n"), F.max_by("role", "pos").alias("ending"), F.min("line").alias("line"), F.max("depth").alias("deep")
+    want = F.broadcast(spark.createDataFrame(needs, "wlang int, word int, any array<int>, last boolean"))
+    word = F.when((F.col("lang") * 1000 + F.col("role")).isin(sorted({n[0] * 1000 + n[1] for n in needs})) & (F.col("parens") <= 0), F.col("role"))
+    parts = rows.groupBy("key", "lang", "statement").agg(
+        F.min(F.when(word.isNotNull(), F.struct("pos", word.alias("w"), "line"))).alias("head"), F.collect_set("role").alias("has"),
+        F.max_by("role", "pos").alias("ending"), F.max_by("prev", "pos").alias("before"), F.min("line").alias("line"), F.max(F.col("depth") + F.when(F.col("kind") < 0, 1).otherwise(0)).alias("deep"),
     )
-    css = css.where((F.col("ending").isin(ROLE[";"], ROLE["}"])) & (F.col("n") > 1) & ~F.array_contains("has", ROLE[":"]) & (F.col("deep") > 0))
-    css = css.select("id", "language", "line", F.lit("Statement is not complete").alias("message"))
+    lacking = parts.where("head IS NOT NULL").join(want, (F.col("lang") == F.col("wlang")) & (F.col("head.w") == F.col("word")))
+    lacking = lacking.where(~F.arrays_overlap("has", "any") & (~F.col("last") | F.array_contains("has", ROLE["EOF"]))).withColumn("line", F.col("head.line"))
+    faults.append(told(lacking, "Statement is not complete"))
+    # style sheets: a declaration has a colon
+    empty = F.col("before").isin([ROLE[x] for x in (";", "{", "}", "BOF")])
+    css = parts.where((F.col("lang") == number["css"]) & F.col("ending").isin(ROLE[";"], ROLE["}"]) & ~empty & ~F.array_contains("has", ROLE[":"]) & (F.col("deep") > 0))
+    faults.append(told(css, "Statement is not complete"))
+    # Python: a try has a handler
+    n = lambda *w: F.count_if(F.col("role").isin([ROLE[x] for x in w]))
+    tries = rows.where(python).groupBy("key").agg(n("try").alias("t"), n("except", "finally").alias("h"), F.max("line").alias("line")).where("t > h")
+    faults.append(told(tries, "Statement is not complete"))
 
-    faults = wrong.unionByName(nested).unionByName(lacking).unionByName(blocks).unionByName(tries).unionByName(css)
-    first = faults.groupBy("id", "language").agg(F.min(F.struct("line", "message")).alias("m")).select("id", "language", "m.line", "m.message")
-    return _confirmed(cut(first), judged)
+    found = reduce(DataFrame.unionByName, faults).groupBy("key").agg(F.min(F.struct("line", "message")).alias("m"))
+    found = cut(found.select("key", "m.line", "m.message"))
+    return _confirmed(judged.withColumn("key", key).join(found, "key").select("id", "language", "line", "message", "source"))
 
 
-def _confirmed(faults: DataFrame, judged: DataFrame) -> DataFrame:
-    """Drops the Python and JSON texts that an exact parse accepts."""
-    exact = F.col("language").isin("python", "json")
+def _confirmed(faults: DataFrame) -> DataFrame:
+    """Drops the Python and JSON texts that an exact parse accepts; ``source`` goes."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -602,8 +610,9 @@ def _confirmed(faults: DataFrame, judged: DataFrame) -> DataFrame:
                     keep.append(True)
             yield pa.RecordBatch.from_arrays(b.columns[:4], names=["id", "language", "line", "message"]).filter(pa.array(keep, pa.bool_()))
 
-    some = faults.where(exact).join(judged.select("id", "source"), "id").select("id", "language", "line", "message", "source")
-    return faults.where(~exact).unionByName(some.mapInArrow(parse, "id string, language string, line int, message string"))
+    exact = F.col("language").isin("python", "json")
+    rest = faults.where(~exact).drop("source")
+    return rest.unionByName(faults.where(exact).mapInArrow(parse, "id string, language string, line int, message string"))
 
 
 def _refuse(name: str) -> None:
