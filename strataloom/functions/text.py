@@ -21,7 +21,7 @@ def symbol_words(name: Column) -> Column:
     """Camel, Pascal, acronym, digit and punctuation boundaries become single blanks; lower case."""
     s = F.regexp_replace(name, r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2")
     s = F.regexp_replace(s, r"(\p{Lu})(\p{Lu}\p{Ll})", "$1 $2")
-    s = F.regexp_replace(s, r"(\p{L})(\p{N})|(\p{N})(\p{L})", "$1$3 $2$4")
+    s = F.regexp_replace(F.regexp_replace(s, r"(\p{L})(\p{N})", "$1 $2"), r"(\p{N})(\p{L})", "$1 $2")
     return F.lower(F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}]+", " ")))
 
 

@@ -261,8 +261,8 @@ _CUR = "cur AS (SELECT * FROM files QUALIFY row_number() OVER (PARTITION BY repo
 _ENDS = "greatest(coalesce(CASE WHEN end_column = 1 THEN end_line - 1 ELSE end_line END, start_line), start_line)"
 _TEST = r"regexp_matches(path, '(^|/)(tests?|__tests__|spec)/|(^|/)test_[^/]*\.py$|_test\.(py|go|rs|c)$|\.(test|spec)\.[cm]?[jt]sx?$|Tests?\.java$')"
 _EXT = r"lower(regexp_extract(path, '[^/]\.([A-Za-z0-9]+)$', 1))"
-_WORDS = r"""lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, '([\p{Ll}\p{N}])(\p{Lu})', '\1 \2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g'),
- '(\p{L})(\p{N})|(\p{N})(\p{L})', '\1\3 \2\4', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')))"""
+_WORDS = r"""lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, '([\p{Ll}\p{N}])(\p{Lu})', '\1 \2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g'),
+ '(\p{L})(\p{N})', '\1 \2', 'g'), '(\p{N})(\p{L})', '\1 \2', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')))"""
 _BODY = r"regexp_replace(replace(replace(source, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n\z', '')"
 _CALLS = r"""c AS (SELECT DISTINCT unit_id, repo, name, source FROM callables), one AS (SELECT repo, name, min(unit_id) AS dst FROM c WHERE name IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT unit_id) = 1),
  e AS (SELECT DISTINCT unit_id AS src, dst FROM (SELECT unit_id, repo, unnest(list_distinct(regexp_extract_all(source, '([A-Za-z_][A-Za-z0-9_]*)\(', 1))) AS name FROM c) s JOIN one USING (repo, name))"""
