@@ -261,7 +261,8 @@ def token_rows(texts: DataFrame, keep: str, thin: bool = False, partitions: int
 
     src = texts.select(F.col("id").cast("string").alias("id"), "language", "source")
     lexed = src.mapInArrow(run, "id string, language string, k array<short>, l array<int>, n array<int>, t array<string>")
-    lexed = lexed.repartition(partitions, "id") if partitions else lexed.repartition("id")
+    # a fixed number is not coalesced: the arrays grow some 25 times when they are exploded
+    lexed = lexed.repartition(partitions or 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     out = lexed.select("id", "language", F.posexplode(F.arrays_zip("k", "l", "n", "t")).alias("pos", "x"))
     first, line = F.col("x.k") % 2 == 1, F.col("x.l")
     return out.select("id", "language", "pos", F.shiftright("x.k", 1).alias("class"), line.alias("line"), (line + F.col("x.n")).alias("end_line"), first.alias("first"), F.col("x.t").alias("text"))

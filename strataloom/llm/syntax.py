@@ -526,7 +526,9 @@ def invalid_texts(texts: DataFrame) -> DataFrame:
     key = F.unhex(F.md5("id")).alias("key")  # sorted and shuffled in place of the longer id
     lexed = judged.mapInArrow(run, "id string, language string, r array<short>, d array<byte>, l array<int>")
     code = F.create_map(*[F.lit(x) for i, lang in enumerate(LANGUAGES) for x in (lang, i)])
-    lexed = lexed.select(key, F.element_at(code, F.col("language")).alias("lang"), "r", "d", "l").repartition("key")
+    lexed = lexed.select(key, F.element_at(code, F.col("language")).alias("lang"), "r", "d", "l")
+    # not coalesced: the arrays grow some 25 times when they are exploded
+    lexed = lexed.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
     t = lexed.select("key", "lang", F.posexplode(F.arrays_zip("r", "d", "l")).alias("pos", "x"))
     t = t.select("key", "lang", "pos", F.col("x.r").cast("int").alias("role"), F.col("x.d").cast("int").alias("kind"), F.col("x.l").alias("line"))
     order = Window.partitionBy("key").orderBy("pos")
@@ -542,11 +544,11 @@ def invalid_texts(texts: DataFrame) -> DataFrame:
 
     # one pass over all tokens finds the pairs that no grammar has and keeps what the other checks look at
     number = {lang: i for i, lang in enumerate(LANGUAGES)}
-    pairs = [(number[lang], a, b, n) for lang, a, b, n in _pairs()]
+    pairs = sorted({(number[lang], a, b, n) for lang, a, b, n in _pairs()})
     permitted = F.broadcast(spark.createDataFrame(pairs, "plang int, a int, b int, n boolean"))  # fixed by the grammars
-    first = F.col("prev").isNull()
-    wrong = t.join(permitted, (t.lang == permitted.plang) & (t.prev == permitted.a) & (t.role == permitted.b) & (t.fresh == permitted.n), "left_anti")
-    wrong = wrong.where(~first).select("key", "lang", "pos", "role", "kind", "line", "depth", "parens", "edge", "statement", "prev", "prev2", F.lit(True).alias("wrong"))
+    permitted = permitted.withColumn("allowed", F.lit(True))
+    t = t.join(permitted, (t.lang == permitted.plang) & (t.prev == permitted.a) & (t.role == permitted.b) & (t.fresh == permitted.n), "left")
+    wrong = F.col("prev").isNotNull() & F.col("allowed").isNull()  # the anti-join, within the one pass
     python = F.col("lang") == number["python"]
     colon, newline, indent = ROLE[":"], ROLE["NEWLINE"], ROLE["INDENT"]
     # Python: an indented block stands after a colon and nowhere else
@@ -555,14 +557,12 @@ def invalid_texts(texts: DataFrame) -> DataFrame:
     looked = {(lang, x) for lang, w, of, _ in needs for x in (w, *of)} | {(number["css"], ROLE[":"])} | {(number["python"], ROLE[w]) for w in ("try", "except", "finally")}
     look = (F.col("lang") * 1000 + F.col("role")).isin(sorted(lang * 1000 + r for lang, r in looked))
     loose = (F.col("kind") != 0) | (F.col("role") == ROLE["EOF"]) | (F.col("edge") & (F.col("lang") == number["css"]))
-    kept = t.where(loose | look | F.coalesce(block, F.lit(False))).select(
-        "key", "lang", "pos", "role", "kind", "line", "depth", "parens", "edge", "statement", "prev", "prev2", F.lit(False).alias("wrong")
-    )
-    faulty = F.coalesce(block, F.lit(False))
-    both = cut(kept.unionByName(wrong).withColumn("faulty", F.col("wrong") | faulty).drop("prev2")).repartition("key")
+    block = F.coalesce(block, F.lit(False))
+    kept = t.where(wrong | loose | look | block)
+    both = cut(kept.select("key", "lang", "pos", "role", "kind", "line", "depth", "parens", "statement", "prev", wrong.alias("wrong"), block.alias("block"))).repartition("key")
     told = lambda df, text: df.select("key", "line", F.lit(text).alias("message"))
-    faults = [told(both.where("faulty AND wrong"), "Token cannot follow the one before it"), told(both.where("faulty AND NOT wrong"), "Block is not where it should be")]
-    rows = both.where("NOT wrong")
+    rows = both
+    faults = [told(both.where("wrong"), "Token cannot follow the one before it"), told(both.where("block"), "Block is not where it should be")]
 
     brackets = rows.where((F.col("kind") != 0) | (F.col("role") == ROLE["EOF"])).withColumn("level", F.col("depth") + F.when(F.col("kind") < 0, 1).otherwise(0))
     brackets = brackets.withColumn("opener", F.lag("kind").over(Window.partitionBy("key", "level").orderBy("pos")))
