@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strataloom.functions import text as X
-from strataloom.operators import calls, graph, intervals, lines, sections, snapshots
+from strataloom.operators import calls, freshness, graph, intervals, lines, sections, snapshots
 from strataloom.sources import current_files, load
 
 ROOTS = ["src/**", "lib/**", "!**/*_pb2.py", "!**/{gen,generated}/**"]
@@ -250,6 +250,16 @@ def k2_reconciled(spark, d):
     return snapshots.reconcile_ids(old, c, "identity", "unit_id")
 
 
+def a17_freshness(spark, d):
+    """Lines that files indexed again have kept since their oldest version."""
+    f = load(spark, d, "files")
+    old = f.groupBy("repo", "path").agg(F.min(F.struct("indexed_at", "hash")).alias("r"), F.count_distinct("indexed_at").alias("n")).where("n > 1")
+    s = load(spark, d, "sources")
+    old = old.join(s.select(F.col("hash").alias("h"), F.col("source").alias("was")), F.col("r.hash") == F.col("h"), "left").select("repo", "path", "was")
+    new = _current(spark, d, "hash").join(s.withColumnRenamed("source", "now"), "hash", "left").select("repo", "path", "now")
+    return freshness.freshness(old.join(new, ["repo", "path"]), ["repo", "path"], "was", "now")
+
+
 def a19_digest(spark, d):
     """A digest of the current files that does not depend on their order."""
     return snapshots.table_digest(_current(spark, d, "hash", "language"), ["repo", "path", "hash", "language"])

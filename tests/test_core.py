@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import text as X
 from strataloom.operators import graph, intervals, knn, lines, sections, snapshots
+from strataloom.operators.freshness import freshness
 from strataloom.sources import current_files
+from strataloom.sources.tree import export_csv, read_tree
 from strataloom.streaming import usage
 
 
@@ -100,3 +102,22 @@ def test_entry_points():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_tree_and_export(spark, tmp_path):
+    root = tmp_path / "tree"
+    for name, data in {"src/a.py": b"x = 1\n", "b.md": "é".encode(), "bad.js": b"\xff\xfe", "big.c": b"x" * 50, "node_modules/c.js": b"1", "none.bin": b"1", "yarn.lock": b"1"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(data)
+    files, bad = read_tree(spark, str(root), "r", max_bytes=40)
+    assert {(r.path, r.source) for r in files.collect()} == {("src/a.py", "x = 1\n"), ("b.md", "é"), ("bad.js", ""), ("big.c", "")}
+    assert {r.path for r in bad.collect()} == {"bad.js", "big.c"}
+    df = spark.createDataFrame([("a,b\"c", [1, 2], None)], "t string, l array<int>, n int")
+    export_csv(df, str(tmp_path / "csv"))
+    got = max((p.read_bytes() for p in (tmp_path / "csv").glob("*.csv")), key=len)
+    assert got == b't,l,n\r\n"a,b""c","[1,2]",\r\n'
+
+
+def test_freshness(spark):
+    df = spark.createDataFrame([("a", "1\n2\n3", "1\n3\n4\n5"), ("b", None, ""), ("c", "x", None)], "k string, o string, n string")
+    assert {(r.k, r.same, r.lines, r.ratio) for r in freshness(df, ["k"], "o", "n").collect()} == {("a", 2, 4, 0.5), ("b", 0, 0, 1.0), ("c", 0, 1, 0.0)}
