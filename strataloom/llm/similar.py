@@ -63,17 +63,18 @@ def usable_vectors(df: DataFrame, key: str, vector: str, profile: str) -> DataFr
     return rows.where(~bad & F.exists(v, lambda x: x != 0)).select("profile", "key", "vector")
 
 
-def groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def groups(rows: DataFrame, ordered: bool = True) -> tuple[DataFrame, DataFrame]:
     """(members: profile, key, rid) and (vectors: rid, profile, vector), one per distinct vector.
 
-    Vectors are told apart by 128 bits of hash. rid ascends with the smallest key of the
-    group, so ties between groups fall as ties between keys. A key with several vectors
+    Vectors are told apart by 128 bits of hash. If ``ordered``, rid ascends with the smallest
+    key of the group, so ties between groups fall as ties between keys. A key with several vectors
     keeps the one with the smallest hash.
     """
     h = F.struct(F.xxhash64("profile", "vector").alias("x"), F.xxhash64(F.lit(7), "vector", "profile").alias("y"))
     rows = rows.withColumn("h", h)
     vectors = rows.groupBy("profile", "h").agg(F.first("vector").alias("vector"), F.min("key").alias("key"))
-    vectors = cut(vectors.orderBy("key", "profile", "h").select(F.monotonically_increasing_id().alias("rid"), "profile", "h", "vector"))
+    vectors = vectors.orderBy("key", "profile", "h") if ordered else vectors
+    vectors = cut(vectors.select(F.monotonically_increasing_id().alias("rid"), "profile", "h", "vector"))
     members = rows.groupBy("profile", "key").agg(F.min("h").alias("h"))
     members = members.join(vectors.select("rid", F.col("h").alias("of")), F.col("h") == F.col("of")).select("profile", "key", "rid")
     return cut(members), vectors
