@@ -571,16 +571,19 @@ def invalid_texts(texts: DataFrame) -> DataFrame:
 
     want = F.broadcast(spark.createDataFrame(needs, "wlang int, word int, any array<int>, last boolean"))
     word = F.when((F.col("lang") * 1000 + F.col("role")).isin(sorted({n[0] * 1000 + n[1] for n in needs})) & (F.col("parens") <= 0), F.col("role"))
-    parts = rows.groupBy("key", "lang", "statement").agg(
-        F.min(F.when(word.isNotNull(), F.struct("pos", word.alias("w"), "line"))).alias("head"), F.collect_set("role").alias("has"),
-        F.max_by("role", "pos").alias("ending"), F.max_by("prev", "pos").alias("before"), F.min("line").alias("line"), F.max(F.col("depth") + F.when(F.col("kind") < 0, 1).otherwise(0)).alias("deep"),
-    )
+    sheet = F.col("lang") == number["css"]
+    parts = rows.where(~sheet & (look | (F.col("role") == ROLE["EOF"]))).groupBy("key", "lang", "statement")
+    parts = parts.agg(F.min(F.when(word.isNotNull(), F.struct("pos", word.alias("w"), "line"))).alias("head"), F.collect_set("role").alias("has"))
     lacking = parts.where("head IS NOT NULL").join(want, (F.col("lang") == F.col("wlang")) & (F.col("head.w") == F.col("word")))
     lacking = lacking.where(~F.arrays_overlap("has", "any") & (~F.col("last") | F.array_contains("has", ROLE["EOF"]))).withColumn("line", F.col("head.line"))
     faults.append(told(lacking, "Statement is not complete"))
     # style sheets: a declaration has a colon
+    css = rows.where(sheet).groupBy("key", "statement").agg(
+        F.bool_or(F.col("role") == ROLE[":"]).alias("colon"), F.max_by("role", "pos").alias("ending"), F.max_by("prev", "pos").alias("before"),
+        F.min("line").alias("line"), F.max(F.col("depth") + F.when(F.col("kind") < 0, 1).otherwise(0)).alias("deep"),
+    )
     empty = F.col("before").isin([ROLE[x] for x in (";", "{", "}", "BOF")])
-    css = parts.where((F.col("lang") == number["css"]) & F.col("ending").isin(ROLE[";"], ROLE["}"]) & ~empty & ~F.array_contains("has", ROLE[":"]) & (F.col("deep") > 0))
+    css = css.where(F.col("ending").isin(ROLE[";"], ROLE["}"]) & ~empty & ~F.col("colon") & (F.col("deep") > 0))
     faults.append(told(css, "Statement is not complete"))
     # Python: a try has a handler
     n = lambda *w: F.count_if(F.col("role").isin([ROLE[x] for x in w]))
