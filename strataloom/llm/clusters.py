@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strataloom.llm.similar import Hashing, groups, links, usable_vectors
+from strataloom.llm.similar import Blocks, groups, links, usable_vectors
 from strataloom.runtime import cut, drop, is_empty
 
 
@@ -95,7 +95,7 @@ def spectral_labels(nodes: DataFrame, edges: DataFrame, columns: int = 4, rounds
     return labels
 
 
-def similarity_clusters(df: DataFrame, key: str, vector: str, profile: str, min_cos: float = 0.9, how: Hashing = Hashing()) -> Clusters:
+def similarity_clusters(df: DataFrame, key: str, vector: str, profile: str, min_cos: float = 0.9, how: Blocks = Blocks()) -> Clusters:
     """Cluster the usable vectors of ``df`` (see ``usable_vectors`` for what is left out)."""
     members, vectors = groups(usable_vectors(df, key, vector, profile), ordered=False)
     drop(df)  # only if it is a table of ``cut``
@@ -107,7 +107,7 @@ def similarity_clusters(df: DataFrame, key: str, vector: str, profile: str, min_
     return Clusters(labels.unionByName(alone), members, near)
 
 
-def unit_clusters(units: DataFrame, vectors: DataFrame, min_cos: float = 0.9, how: Hashing = Hashing()) -> tuple[DataFrame, Clusters]:
+def unit_clusters(units: DataFrame, vectors: DataFrame, min_cos: float = 0.9, how: Blocks = Blocks()) -> tuple[DataFrame, Clusters]:
     """(unit_id, cluster_id, rid) of the units that share a cluster with another unit.
 
     units: unit_id, embedding_key; vectors: embedding_key, profile_key, vector. cluster_id

@@ -1,23 +1,20 @@
-"""Most similar vectors for every vector, by multiprobe p-stable hashing.
-
-Distinct vectors are hashed into ``tables`` bucket tables of ``width`` p-stable functions
-each. Every vector lies in one bucket of a table and visits, besides it, the perturbed
-buckets in the order of their estimated success: the distances to the borders of the
-hash cells are sorted, and perturbation sets over these ranks are taken by the expected
-sum of squared distances. Vectors that meet in a bucket become candidates if their
-random-hyperplane signatures allow the wanted cosine; candidates are merged over the
-tables and ranked by exact cosine in double precision.
-
-Work and shuffle follow the number of distinct vectors, not of rows: equal vectors form
-one group, and only a group's few smallest keys can be anyone's neighbours. Buckets with
-more members than ``bucket_rows`` are not joined but compared block by block, each vector
-keeping its best ``keep`` of a block; nothing is dropped from them.
+"""Most similar vectors for every vector, by an exact search in blocks.
+
+Distinct vectors of a profile are packed into chunks, and every two chunks are compared,
+so no pair that reaches the wanted cosine is missed. Most pairs are refused cheaply: after
+a rotation, the product of the leading coordinates plus the product of the lengths of the
+rest is an upper bound of the cosine. Pairs whose bound reaches the wanted cosine get
+their cosine in double precision. The work grows with the square of the distinct vectors;
+what is stored grows with the vectors and the links.
+
+Work follows the number of distinct vectors, not of rows: equal vectors form one group,
+and only a group's few smallest keys can be anyone's neighbours. Where two chunks share
+very many links, each vector keeps its best ``keep`` of the other chunk, and a spanning
+forest keeps what the links connect.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -28,20 +25,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strataloom.runtime import cut, drop, is_empty
+from strataloom.runtime import cut, drop
 
 _PROFILES_BROADCAST = 10_000
 
 
 @dataclass(frozen=True)
-class Hashing:
-    tables: int = 4
-    width: int = 12
-    probes: int = 4
-    cells: float = 3.6  # cell width in distances of the least cosine wanted
-    passes: int = 2  # reranking in so many parts, each freeing its shuffle files
+class Blocks:
+    bucket_rows: int = 2048  # vectors of a chunk
+    block_bytes: int = 32 << 20  # chunks sent to all tasks at once
+    tile_links: int = 1 << 16  # links of two chunks that are all kept
     seed: int = 20240229
-    bucket_rows: int = 2048
+
+
+Hashing = Blocks  # the name under which callers pass it
 
 
 def usable_vectors(df: DataFrame, key: str, vector: str, profile: str) -> DataFrame:
@@ -80,137 +77,92 @@ def groups(rows: DataFrame, ordered: bool = True) -> tuple[DataFrame, DataFrame]
     return cut(members), vectors
 
 
-def _templates(width: int, probes: int) -> list[tuple[int, ...]]:
-    """Perturbation sets over ranks 1..2*width of border distances, likeliest first."""
-    m, top = width, 2 * width
-    e = [
-        j * (j + 1) / (4 * (m + 1) * (m + 2))
-        if j <= m
-        else 1 - (top + 1 - j) / (m + 1) + (top + 1 - j) * (top + 2 - j) / (4 * (m + 1) * (m + 2))
-        for j in range(1, top + 1)
-    ]
-    sets = [
-        (sum(e[j - 1] for j in s), s)
-        for r in (1, 2, 3)
-        for s in itertools.combinations(range(1, top + 1), r)
-        if not any(top + 1 - j in s for j in s)  # both sides of one cell
-    ]
-    return [s for _, s in sorted(sets)[:probes]]
-
-
 def _matrix(col: pa.Array) -> np.ndarray:
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
 
 
-def _hasher(how: Hashing, min_cos: float, probe: bool):
-    cell = how.cells * math.sqrt(max(2 - 2 * min_cos, 0.02))
-    sets = _templates(how.width, how.probes)
-
-    def buckets(x: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets per row (own one first) and signatures of unit rows x."""
-        rng = np.random.default_rng([how.seed, x.shape[1]])
-        n = how.tables * how.width
-        f = (x @ rng.normal(size=(x.shape[1], n)).astype(np.float32) + rng.uniform(0, cell, n).astype(np.float32)) / cell
-        mul = rng.integers(1, 2**62, n) * 2 + 1
-        whole = np.floor(f)
-        part = f - whole
-        bits = np.packbits(x @ rng.normal(size=(x.shape[1], 128)).astype(np.float32) > 0, axis=1)
-        out = []
-        for t in range(how.tables):
-            at = slice(t * how.width, (t + 1) * how.width)
-            own = (whole[:, at].astype(np.int64) * mul[at]).sum(1) + mul[at][0] * (t + 1) + salt
-            out.append(own)
-            if probe:
-                order = np.argsort(np.concatenate([part[:, at], 1 - part[:, at]], axis=1), axis=1)
-                for s in sets:
-                    k = own.copy()
-                    for j in s:
-                        o = order[:, j - 1]
-                        k += np.where(o < how.width, -1, 1) * mul[at][o % how.width]
-                    out.append(k)
-        return np.stack(out, axis=1), bits.view(np.int64)
+def _heads(x: np.ndarray, seed: int) -> np.ndarray:
+    """Leading rotated coordinates of the unit rows and the length of the rest: products bound the cosine from above."""
+    d = x.shape[1]
+    u = x.astype(np.float64)
+    u /= np.abs(u).max(axis=1, keepdims=True)  # lengths down to the smallest floats
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    if d <= 32:
+        return u.astype(np.float32)
+    n = max(24, d // 4)
+    u = u @ np.linalg.qr(np.random.default_rng([seed, d]).normal(size=(d, d)))[0]
+    return np.concatenate([u[:, :n], np.linalg.norm(u[:, n:], axis=1, keepdims=True)], axis=1).astype(np.float32)
+
+
+def _packed(vectors: DataFrame, how: Blocks) -> DataFrame:
+    """(chunk, salt, n, dim, rids, data): up to ``bucket_rows`` vectors of one profile a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(k: tuple, rids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+            cols = [pa.array([k[0]], pa.int64()), pa.array([len(rids)], pa.int32()), pa.array([k[1]], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (rids, x))]
+            return pa.RecordBatch.from_arrays(cols, names=["salt", "n", "dim", "rids", "data"])
+
+        open_: dict[tuple, list] = {}
         for b in batches:
-            rid, salt = b.column(0).to_numpy(), b.column(1).to_numpy()
-            size = b.column(3).to_numpy()
-            for d in np.unique(size):
-                here = np.flatnonzero(size == d)
-                x = _matrix(b.column(2).take(pa.array(here))).astype(np.float32)
-                # lengths down to the smallest floats: scale before the norm
-                x /= np.abs(x).max(axis=1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                with np.errstate(over="ignore"):
-                    k, sig = buckets(x, salt[here])
-                n = k.shape[1]
-                cols = [k.ravel(), *(np.repeat(c, n) for c in (rid[here], sig[:, 0], sig[:, 1]))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["bucket", "rid", "s", "t"])
-
-    return run
-
-
-def candidates(vectors: DataFrame, min_cos: float, how: Hashing, keep: int) -> DataFrame:
-    """(a, b), a < b: pairs of vectors that meet in a bucket and may reach ``min_cos``.
-
-    Pairs of one group of near-equal vectors are bounded: a bucket over ``bucket_rows``
-    gives each vector that visits it its best ``keep`` of each block.
-    """
+            rid, salt, dim = (b.column(i).to_numpy() for i in (0, 1, 3))
+            for k in {*zip(salt.tolist(), dim.tolist(), strict=True)}:
+                here = np.flatnonzero((salt == k[0]) & (dim == k[1]))
+                parts = open_.setdefault(k, [])
+                parts.append((rid[here], _matrix(b.column(2).take(pa.array(here))).astype(np.float32)))
+                if sum(len(r) for r, _ in parts) >= how.bucket_rows:
+                    rids, x = (np.concatenate(c) for c in zip(*parts, strict=True))
+                    whole = len(rids) // how.bucket_rows * how.bucket_rows
+                    for at in range(0, whole, how.bucket_rows):
+                        yield row(k, rids[at : at + how.bucket_rows], x[at : at + how.bucket_rows])
+                    open_[k] = [(rids[whole:], x[whole:])]
+        for k, parts in open_.items():
+            rids, x = (np.concatenate(c) for c in zip(*parts, strict=True))
+            if len(rids):
+                yield row(k, rids, x)
+
     src = vectors.select("rid", F.xxhash64("profile").alias("salt"), "vector", F.size("vector").alias("dim"))
-    kind = "bucket long, rid long, s long, t long"
-    index = src.mapInArrow(_hasher(how, min_cos, False), kind)
-    probe = src.mapInArrow(_hasher(how, min_cos, True), kind)
-    away = math.acos(max(-1.0, min(1.0, min_cos))) / math.pi
-    bits = min(128, math.ceil(128 * away + 3.5 * math.sqrt(128 * away * (1 - away))))  # 1 in 4,000 beyond
-    full = cut(index.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > how.bucket_rows))
-    dense = not is_empty(full)
-    few = full.limit(_PROFILES_BROADCAST + 1).count() <= _PROFILES_BROADCAST if dense else False
-    wide = F.broadcast(full.select("bucket")) if few else full.select("bucket")
-    i, p = (t.join(wide, "bucket", "left_anti") if dense else t for t in (index, probe))
-    differ = F.bit_count(F.col("i.s").bitwiseXOR(F.col("p.s"))) + F.bit_count(F.col("i.t").bitwiseXOR(F.col("p.t")))
-    met = i.alias("i").join(p.alias("p"), "bucket").where((F.col("i.rid") != F.col("p.rid")) & (differ <= bits))
-    pairs = met.select(F.least("i.rid", "p.rid").alias("a"), F.greatest("i.rid", "p.rid").alias("b"))
-    if dense:
-        pairs = pairs.unionByName(_dense(index, probe, full, few, vectors, min_cos, how, keep))
-    return pairs.distinct()
-
-
-def _dense(index, probe, full, few, vectors, min_cos, how, keep) -> DataFrame:
-    """Candidates of the buckets over ``bucket_rows``, compared in blocks."""
-    rows = how.bucket_rows
-    seen = probe.join(F.broadcast(full) if few else full, "bucket")
-    sizes = cut(seen.groupBy("bucket").agg(F.first("n").alias("n"), F.count("*").alias("m")))
-    s = F.broadcast(sizes) if few else sizes
-    ib, pb = F.ceil(F.col("n") / rows).cast("int"), F.ceil(F.col("m") / rows).cast("int")
-    own = lambda blocks, salt: F.pmod(F.xxhash64("rid", F.lit(salt)), blocks).cast("int")
-    spread = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
-    left = index.join(s, "bucket").select("bucket", "rid", own(ib, 1).alias("i"), spread(pb).alias("j"), F.lit(True).alias("stored"))
-    right = probe.join(s, "bucket").select("bucket", "rid", spread(ib).alias("i"), own(pb, 2).alias("j"), F.lit(False).alias("stored"))
-    both = left.unionByName(right).join(vectors.select("rid", "vector"), "rid")
-
-    def best(t: pa.Table) -> pa.Table:
-        stored = t.column("stored").to_numpy(zero_copy_only=False)
-        rid = t.column("rid").to_numpy()
-        x = _matrix(t.column("vector")).astype(np.float64)
-        x /= np.abs(x).max(axis=1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        a, b = rid[~stored], rid[stored]
-        if not len(a) or not len(b):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        s = x[~stored] @ x[stored].T
-        s[a[:, None] == b[None, :]] = -2
-        s[s < min_cos - 1e-9] = -2
-        out = []
-        rounded = np.round(s, 4)
-        order = np.lexsort((np.broadcast_to(b, s.shape), -rounded), axis=1)[:, :keep]
-        got = np.take_along_axis(rounded, order, 1) > -2
-        out.append((np.repeat(a, got.sum(1)), b[order[got]]))
-        # a spanning forest of all links keeps the block connected as its links do
-        out.append(_forest(a, b, s > -2))
-        u, v = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.table({"a": np.minimum(u, v), "b": np.maximum(u, v)})
-
-    return both.groupBy("bucket", "i", "j").applyInArrow(best, "a long, b long")
+    rows = src.mapInArrow(run, "salt long, n int, dim int, rids binary, data binary")
+    files = 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(rows.repartition(files).withColumn("chunk", F.monotonically_increasing_id()))
+
+
+def _tile(u, x, hx, v, y, hy, same: bool, min_cos: float, how: Blocks, keep: int):
+    """(a, b, cos) of the links between two chunks: rids, vectors and heads of either."""
+    may = hx @ hy.T >= np.float32(min_cos - 2e-4)
+    if same:
+        may = np.triu(may, 1)
+    n = np.count_nonzero(may)
+    if not n:
+        return None
+    xd, yd = x.astype(np.float64), y.astype(np.float64)
+    if n > may.size // 20:
+        cos = (xd @ yd.T) / np.sqrt(np.einsum("ij,ij->i", xd, xd)[:, None] * np.einsum("ij,ij->i", yd, yd)[None, :])
+        i, j = np.nonzero(may)
+        cos = cos[i, j]
+    else:
+        i, j = np.nonzero(may)
+        xd, yd = xd[i], yd[j]
+        cos = np.einsum("ij,ij->i", xd, yd) / np.sqrt(np.einsum("ij,ij->i", xd, xd) * np.einsum("ij,ij->i", yd, yd))
+    rounded = np.floor(cos * 1e4 + 0.5) / 1e4
+    ok = rounded >= min_cos
+    i, j, cos, rounded = i[ok], j[ok], np.clip(cos[ok], -1, 1), rounded[ok]
+    if len(i) > how.tile_links:
+        s = np.full(may.shape, -2.0)
+        s[i, j] = rounded
+        if same:
+            s[j, i] = rounded
+        some = np.zeros(s.shape, bool)
+        for t, other, mark in ((s, v, some), (s.T, u, some.T)):
+            order = np.lexsort((np.broadcast_to(other, t.shape), -t), axis=1)[:, :keep]
+            np.put_along_axis(mark, order, True, 1)
+        # a spanning forest of all links keeps the chunks connected as their links do
+        a, b = _forest(np.arange(len(u)), np.arange(len(v)), s > -2)
+        some[a, b] = True
+        ok = some[i, j] | some[j, i] if same else some[i, j]
+        i, j, cos = i[ok], j[ok], cos[ok]
+    a, b = u[i], v[j]
+    return np.minimum(a, b), np.maximum(a, b), cos
 
 
 def _forest(a: np.ndarray, b: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,37 +188,55 @@ def _forest(a: np.ndarray, b: np.ndarray, linked: np.ndarray) -> tuple[np.ndarra
     return np.array(us, np.int64), np.array(vs, np.int64)
 
 
-def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if not b.num_rows:
-            continue
-        same = b.column(4).to_numpy()
-        for d in np.unique(same):
-            t = b.take(pa.array(np.flatnonzero(same == d)))
-            x, y = (_matrix(t.column(i)).astype(np.float64) for i in (2, 3))
-            dot = np.einsum("ij,ij->i", x, y)
-            cos = dot / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(np.clip(cos, -1, 1))], names=["a", "b", "cos"])
+def links(vectors: DataFrame, min_cos: float, how: Blocks = Blocks(), keep: int = 6) -> DataFrame:
+    """(a, b, cos), a < b: pairs whose exact cosine, rounded to 4 decimals, reaches ``min_cos``.
 
-
-def links(vectors: DataFrame, min_cos: float, how: Hashing = Hashing(), keep: int = 6) -> DataFrame:
-    """(a, b, cos), a < b: candidates whose exact cosine, rounded to 4 decimals, reaches ``min_cos``."""
-    pairs = cut(candidates(vectors, min_cos, how, keep))
-    v = vectors.select("rid", "profile", "vector")
+    None is missed, but where two chunks share over ``tile_links``: there the pairs stay that are
+    among the best ``keep`` of either end, and enough others to connect what the pairs connect.
+    """
+    sc = vectors.sparkSession.sparkContext
+    packed = _packed(vectors, how)
+    chunks = packed.select("salt", "chunk", "n", "dim").orderBy("salt", "chunk").collect()  # one small row for each 2,048 vectors
+    if not chunks:
+        drop(packed)
+        return vectors.sparkSession.createDataFrame([], "a long, b long, cos double")
+    left, size = [[]], 0
+    for c in chunks:
+        if left[-1] and size + 4 * c.n * c.dim > how.block_bytes:
+            left.append([])
+            size = 0
+        left[-1].append(c)
+        size += 4 * c.n * c.dim
+    unpack = lambda r: (np.frombuffer(r.rids, np.int64), np.frombuffer(r.data, np.float32).reshape(r.n, r.dim))
     out = []
-    for k in range(how.passes):
-        mine = lambda c: F.pmod(F.xxhash64(c), F.lit(how.passes)) == k  # noqa: B023, E731
-        at = pairs.where(mine("a")).join(v.where(mine("rid")), F.col("a") == F.col("rid"))
-        at = at.select("a", "b", F.col("vector").alias("x"), F.col("profile").alias("p"))
-        at = at.join(v, (at.b == v.rid) & at.p.eqNullSafe(v.profile))
-        at = at.select("a", "b", "x", F.col("vector").alias("y"), F.size("x").alias("dim"))
-        out.append(cut(at.mapInArrow(_cosines, "a long, b long, cos double").where(F.round("cos", 4) >= min_cos)))
-    drop(pairs)
+    for block in left:
+        ids, salts = [c.chunk for c in block], sorted({c.salt for c in block})
+        held = {}
+        for r in packed.where(F.col("chunk").isin(ids)).collect():
+            rids, x = unpack(r)
+            held.setdefault((r.salt, r.dim), []).append((r.chunk, rids, x, _heads(x, how.seed)))
+        sent = sc.broadcast(held)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k in range(b.num_rows):
+                    chunk, salt, n, dim, rids, data = (b.column(i)[k].as_py() for i in range(6))
+                    v, y = np.frombuffer(rids, np.int64), np.frombuffer(data, np.float32).reshape(n, dim)
+                    hy = _heads(y, how.seed)
+                    for of, u, x, hx in sent.value.get((salt, dim), []):
+                        if of <= chunk and (got := _tile(u, x, hx, v, y, hy, of == chunk, min_cos, how, keep)):
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["a", "b", "cos"])
+
+        right = packed.where(F.col("salt").between(salts[0], salts[-1]) & (F.col("chunk") >= min(ids)))
+        right = right.select("chunk", "salt", "n", "dim", "rids", "data")
+        out.append(cut(right.mapInArrow(run, "a long, b long, cos double")))
+        sent.unpersist()
+    drop(packed)
     return reduce(DataFrame.unionByName, out)
 
 
 def most_similar(
-    df: DataFrame, key: str, vector: str, profile: str, k: int = 5, min_cos: float = 0.9, how: Hashing = Hashing()
+    df: DataFrame, key: str, vector: str, profile: str, k: int = 5, min_cos: float = 0.9, how: Blocks = Blocks()
 ) -> DataFrame:
     """(profile, key, neighbor, cos): for each usable vector its at most ``k`` nearest others.
 
