@@ -71,6 +71,8 @@ _ABOUT = re.compile(
     r"c0de|\b(?:removed?s?|removing|replaces?|replaced|instead of|came from|comes from|answers? with|returns?|returned|responds?|prints?|logs?|notice that|message|"
     r"now get|visitors|users? (?:see|saw|get|got)|when the|if the|whenever|handles?|throws?|raises?|catch(?:es)?|e\.g\.|for example|such as|called|the (?:old|new) )\b"
 )
+_LONG = 400  # tokens of the longest segment that is scored as a whole
+_WINDOW = 48  # tokens of the windows of longer ones: in wide windows content outweighs a short residue
 _TOKEN = re.compile(r"pl4ce|c0de|[^\W\d_]+|\d+|[^\w\s]")
 
 
@@ -118,9 +120,20 @@ def weak_label(segment: str) -> bool | None:
     return False
 
 
+def windows(segment: str) -> list[str]:
+    """The segment itself, or overlapping windows that cover all tokens of one over ``_LONG`` tokens."""
+    if len(segment) <= _LONG:
+        return [segment]
+    spans = [m.span() for m in _TOKEN.finditer(segment)]
+    if len(spans) <= _LONG:
+        return [segment]
+    starts = [*range(0, len(spans) - _WINDOW, _WINDOW // 2), len(spans) - _WINDOW]
+    return [segment[spans[i][0] : spans[i + _WINDOW - 1][1]] for i in starts]
+
+
 def features(segment: str, at: int, count: int) -> list[int]:
     """Hashed uni- and bigrams of generalised tokens, shares, length, position and title features."""
-    words = ["0" if t.isdigit() else t for t in _TOKEN.findall(segment)[:400]]
+    words = ["0" if t.isdigit() else t for t in _TOKEN.findall(segment)]
     filler = sum(w in _FILLER for w in words)
     names = set(words)
     names.update(f"{a} {b}" for a, b in zip(["^", *words], [*words, "$"], strict=True))
@@ -177,7 +190,7 @@ def train(docs: DataFrame, key: str, text: str, host: str, max_docs: int = 20_00
             seen: dict[int, tuple] = {}
             for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 parts = segments(t)
-                for i, s in enumerate(parts):
+                for i, s in ((i, x) for i, p in enumerate(parts) for x in windows(p)):
                     y = weak_label(s)
                     if y is not None:
                         f = features(s, i, len(parts))
@@ -210,7 +223,8 @@ def residue_scores(docs: DataFrame, key: str, text: str, model: Model, threshold
     """(key, residue, score, segment) for every row of ``docs``: the document's most suspicious segment.
 
     Null, empty and blank texts have no segment and are no cases. Repeated rows give
-    repeated results. Texts are read whole.
+    repeated results. Texts are read whole; segments over ``_LONG`` tokens are scored in
+    overlapping windows.
     """
     kind = docs.schema[key].dataType.simpleString()
     weights = docs.sparkSession.sparkContext.broadcast(model.weights.astype(np.float32))  # 2**16 numbers
@@ -221,9 +235,11 @@ def residue_scores(docs: DataFrame, key: str, text: str, model: Model, threshold
             out = []
             for t in b.column(1).to_pylist():
                 best = (False, None, None)
-                parts = segments(t) if t else []
+                whole = segments(t) if t else []
+                at = [(i, x) for i, p in enumerate(whole) for x in windows(p)]
+                parts = [x for _, x in at]
                 if parts:
-                    s = scores([features(x, i, len(parts)) for i, x in enumerate(parts)], w)
+                    s = scores([features(x, i, len(whole)) for i, x in at], w)
                     for i in np.argsort(-s):
                         if s[i] <= threshold:
                             break
