@@ -537,6 +537,8 @@ def invalid_texts(texts: DataFrame) -> DataFrame:
     t = t.withColumns({
         "prev": F.lag("role").over(order), "prev2": F.lag("role", 2).over(order), "fresh": F.lag("line").over(order) < F.col("line"),
         "depth": F.sum(F.signum("kind")).over(so_far).cast("int"), "parens": F.sum(rounds).over(so_far),
+        "tried": F.max(F.col("role") == ROLE["try"]).over(so_far),
+        "indents": F.sum(F.when(F.col("role") == ROLE["INDENT"], 1).when(F.col("role") == ROLE["DEDENT"], -1).otherwise(0)).over(so_far).cast("int"),
     })
     ends = [ROLE[x] for x in (";", "{", "}", "NEWLINE", "EOF")]
     edge = (F.col("parens") <= 0) & F.col("role").isin(ends)
@@ -558,8 +560,11 @@ def invalid_texts(texts: DataFrame) -> DataFrame:
     look = (F.col("lang") * 1000 + F.col("role")).isin(sorted(lang * 1000 + r for lang, r in looked))
     loose = (F.col("kind") != 0) | (F.col("role") == ROLE["EOF"]) | (F.col("edge") & (F.col("lang") == number["css"]))
     block = F.coalesce(block, F.lit(False))
-    kept = t.where(wrong | loose | look | block)
-    both = cut(kept.select("key", "lang", "pos", "role", "kind", "line", "depth", "parens", "statement", "prev", wrong.alias("wrong"), block.alias("block"))).repartition("key")
+    # statements of Python begin here; they are looked at from the text's first try on
+    begins = ~F.col("role").isin(newline, indent, ROLE["DEDENT"]) & (F.col("prev").isin(newline, indent, ROLE["DEDENT"], ROLE["BOF"]))
+    tried = python & begins & F.col("tried")
+    kept = t.where(wrong | loose | look | block | tried)
+    both = cut(kept.select("key", "lang", "pos", "role", "kind", "line", "depth", "indents", "parens", "statement", "prev", wrong.alias("wrong"), block.alias("block"))).repartition("key")
     told = lambda df, text: df.select("key", "line", F.lit(text).alias("message"))
     rows = both
     faults = [told(both.where("wrong"), "Token cannot follow the one before it"), told(both.where("block"), "Block is not where it should be")]
@@ -585,10 +590,13 @@ def invalid_texts(texts: DataFrame) -> DataFrame:
     empty = F.col("before").isin([ROLE[x] for x in (";", "{", "}", "BOF")])
     css = css.where(F.col("ending").isin(ROLE[";"], ROLE["}"]) & ~empty & ~F.col("colon") & (F.col("deep") > 0))
     faults.append(told(css, "Statement is not complete"))
-    # Python: a try has a handler
-    n = lambda *w: F.count_if(F.col("role").isin([ROLE[x] for x in w]))
-    tries = rows.where(python).groupBy("key").agg(n("try").alias("t"), n("except", "finally").alias("h"), F.max("line").alias("line")).where("t > h")
-    faults.append(told(tries, "Statement is not complete"))
+    # Python: the statement after a try block, at its depth and in its block, is a handler; a handler comes after a try
+    among = lambda c, *w: F.coalesce(F.col(c).isin([ROLE[x] for x in w]), F.lit(False))
+    level = Window.partitionBy("key", "indents").orderBy("pos")
+    starts = rows.where(python & begins).select("key", "line", "role", F.lead("role").over(level).alias("next"), F.lead("prev").over(level).alias("into"), F.lag("role").over(level).alias("last"))
+    open_ = among("role", "try") & (~among("next", "except", "finally") | among("into", "INDENT"))
+    stray = among("role", "except", "finally") & ~among("last", "try", "except", "else")
+    faults.append(told(starts.where(open_ | stray), "Statement is not complete"))
 
     found = reduce(DataFrame.unionByName, faults).groupBy("key").agg(F.min(F.struct("line", "message")).alias("m"))
     found = cut(found.select("key", "m.line", "m.message"))
