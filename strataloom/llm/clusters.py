@@ -24,12 +24,13 @@ from strataloom.runtime import cut, drop, is_empty
 
 @dataclass
 class Clusters:
-    """labels: rid, label. members: profile, key, rid. links: a, b, cos. Clusters of one
-    distinct vector have a label too, but no link."""
+    """labels: rid, label. members: profile, key, rid. links: a, b, cos. vectors: rid, vector
+    besides others. Clusters of one distinct vector have a label too, but no link."""
 
     labels: DataFrame
     members: DataFrame
     links: DataFrame
+    vectors: DataFrame
 
 
 def spectral_labels(nodes: DataFrame, edges: DataFrame, columns: int = 4, rounds: int = 4, settled: float = 1e-9) -> DataFrame:
@@ -100,11 +101,10 @@ def similarity_clusters(df: DataFrame, key: str, vector: str, profile: str, min_
     members, vectors = groups(usable_vectors(df, key, vector, profile), ordered=False)
     drop(df)  # only if it is a table of ``cut``
     near = links(vectors, min_cos, how)
-    drop(vectors)
     weight = members.groupBy("rid").agg(F.count("*").cast("double").alias("weight"))
     labels = spectral_labels(weight, near)
     alone = weight.select("rid").join(labels, "rid", "left_anti").select("rid", F.col("rid").alias("label"))
-    return Clusters(labels.unionByName(alone), members, near)
+    return Clusters(labels.unionByName(alone), members, near, vectors)
 
 
 def unit_clusters(units: DataFrame, vectors: DataFrame, min_cos: float = 0.9, how: Blocks = Blocks()) -> tuple[DataFrame, Clusters]:
@@ -127,12 +127,19 @@ def unit_clusters(units: DataFrame, vectors: DataFrame, min_cos: float = 0.9, ho
 def describe(at: DataFrame, c: Clusters, typical: int = 3) -> DataFrame:
     """(cluster_id, size, typical): the members with the largest internal affinity, ties to the smaller id.
 
-    A member's affinity is the sum of its cosines to the others; equal vectors count 1.
+    A member's affinity is the sum of its cosines to all others of the cluster; equal vectors
+    count 1. It is the product of its unit vector with the sum of the cluster's, less itself.
     """
-    w = at.groupBy("rid", "cluster_id").agg(F.count("*").alias("n"), F.first("size").alias("size"))
-    e = c.links.select("a", "b", "cos").unionByName(c.links.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))
-    pull = e.join(w.select(F.col("rid").alias("b"), "n"), "b").groupBy(F.col("a").alias("rid")).agg(F.sum(F.col("cos") * F.col("n")).alias("s"))
-    rank = w.join(pull, "rid", "left").select("rid", (F.coalesce("s", F.lit(0.0)) + F.col("n") - 1).alias("affinity"))
+    w = at.groupBy("rid", "cluster_id").agg(F.count("*").alias("n"))
+    v = F.col("vector").cast("array<double>")
+    top = F.array_max(F.transform(v, F.abs))  # lengths down to the smallest floats
+    v = c.vectors.select("rid", F.transform(v, lambda x: x / top).alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    unit = cut(w.join(v.select("rid", F.transform("v", lambda x: x / length).alias("u")), "rid"))
+    part = unit.select("cluster_id", "n", F.posexplode("u").alias("i", "x")).groupBy("cluster_id", "i").agg(F.sum(F.col("x") * F.col("n")).alias("x"))
+    total = part.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p.x).alias("total"))
+    pull = F.aggregate(F.zip_with("u", "total", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    rank = unit.join(total, "cluster_id").select("rid", (pull - 1).alias("affinity"))
     first = Window.partitionBy("cluster_id").orderBy(F.desc(F.round("affinity", 6)), "unit_id")
     top = at.join(rank, "rid").withColumn("k", F.row_number().over(first)).where(F.col("k") <= typical)
     return top.groupBy("cluster_id").agg(
