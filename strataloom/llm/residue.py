@@ -19,7 +19,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from strataloom.runtime import cut, drop
 
 BITS = 16
 
@@ -120,6 +121,11 @@ def weak_label(segment: str) -> bool | None:
     return False
 
 
+def _stands(segment: str) -> bool:
+    """Whether a segment is residue itself, and does not only speak about it."""
+    return "pl4ce" in segment or weak_label(segment) is True or not _ABOUT.search(segment)
+
+
 def windows(segment: str) -> list[str]:
     """The segment itself, or overlapping windows that cover all tokens of one over ``_LONG`` tokens."""
     if len(segment) <= _LONG:
@@ -131,36 +137,69 @@ def windows(segment: str) -> list[str]:
     return [segment[spans[i][0] : spans[i + _WINDOW - 1][1]] for i in starts]
 
 
-def features(segment: str, at: int, count: int) -> list[int]:
-    """Hashed uni- and bigrams of generalised tokens, shares, length, position and title features."""
-    words = ["0" if t.isdigit() else t for t in _TOKEN.findall(segment)]
-    filler = sum(w in _FILLER for w in words)
-    names = set(words)
-    names.update(f"{a} {b}" for a, b in zip(["^", *words], [*words, "$"], strict=True))
-    names.add(f"len {min(6, len(words).bit_length())}")
-    names.add(f"doc {min(5, count.bit_length())}")
-    names.add(f"title {at == 0} {segment[:1] == '#'}")
-    if filler:
-        names.add(f"filler {4 * filler // len(words)}")
-    return [xxhash.xxh32_intdigest(n) >> (32 - BITS) for n in names]
+class Features:
+    """Hashed features of many segments at once, as sparse rows (columns, ends of the rows).
 
+    Features are uni- and bigrams of generalised tokens, the share of filler words, length,
+    length of the document, and title features. Tokens are hashed once a task and looked up
+    after that; everything else is arithmetic on arrays.
+    """
 
-def _fit(rows: list[list[int]], y: np.ndarray, seen: np.ndarray, l2: float, steps: int) -> np.ndarray:
+    _CACHE = 1 << 18  # tokens kept; a full cache starts anew
+
+    def __init__(self) -> None:
+        self.ids: dict[str, int] = {}
+
+    def _hash(self, token: str) -> int:
+        """64 bits of hash, the lowest telling whether the token is filler."""
+        h = xxhash.xxh64_intdigest("0" if token.isdigit() else token) & ~1
+        if len(self.ids) >= self._CACHE:
+            self.ids.clear()
+        self.ids[token] = h = h | (token in _FILLER)
+        return h
+
+    def rows(self, segments: list[str], at: list[int], count: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        known, new = self.ids, self._hash
+        flat: list[int] = []
+        sizes = np.empty(len(segments), np.int64)
+        for i, s in enumerate(segments):
+            tokens = _TOKEN.findall(s)
+            sizes[i] = len(tokens)
+            flat += [known.get(t) or new(t) for t in tokens]
+        word = np.array(flat, np.uint64)
+        row = np.repeat(np.arange(len(segments), dtype=np.uint64), sizes)
+        first = np.ones(len(word), bool)
+        first[1:] = row[1:] != row[:-1]
+        last = np.ones(len(word), bool)
+        last[:-1] = first[1:]
+        edge = np.uint64(0x9E3779B97F4A7C15)
+        before = np.where(first, edge, np.roll(word, 1)) if len(word) else word
+        mix = lambda x, y: (x * np.uint64(0xC2B2AE3D27D4EB4F) ^ y) * np.uint64(0x9E3779B97F4A7C15)
+        filler = np.bincount(row.astype(np.int64), (word & np.uint64(1)).astype(np.float64), len(segments))
+        bits = lambda v, most: np.minimum(most, np.ceil(np.log2(np.asarray(v, np.float64) + 1))).astype(np.uint64)
+        title = np.array([2 * (i == 0) + (s[:1] == "#") for i, s in zip(at, segments, strict=True)], np.uint64)
+        own = [bits(sizes, 6) + np.uint64(100), bits(count, 5) + np.uint64(200), title + np.uint64(300), np.where(filler > 0, 4 * filler // np.maximum(sizes, 1) + 401, 400).astype(np.uint64)]
+        every = np.arange(len(segments), dtype=np.uint64)
+        names = [mix(word, np.uint64(1)), mix(before, word), mix(word[last], edge), *(mix(o, np.uint64(3)) for o in own)]
+        of = [row, row, row[last], *([every] * len(own))]
+        both = np.unique(np.concatenate([r << np.uint64(BITS) | n >> np.uint64(64 - BITS) for r, n in zip(of, names, strict=True)]))
+        r = (both >> np.uint64(BITS)).astype(np.int64)
+        return (both & np.uint64((1 << BITS) - 1)).astype(np.int64), np.cumsum(np.bincount(r, minlength=len(segments)))
+
+
+def _fit(cols: np.ndarray, sizes: np.ndarray, y: np.ndarray, seen: np.ndarray, l2: float, steps: int) -> np.ndarray:
     """Weighted logistic regression by accelerated gradient descent over sparse rows."""
     n = 1 << BITS
-    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    col = np.fromiter((c for r in rows for c in r), np.int64, sizes.sum())
-    row = np.repeat(np.arange(len(rows)), sizes)
-    scale = 1 / np.sqrt(np.maximum(sizes, 1))
-    value = scale[row]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    value = (1 / np.sqrt(np.maximum(sizes, 1)))[row]
     weight = np.sqrt(seen)
     weight /= np.where(y, 4 * weight[y].sum(), weight[~y].sum() * 4 / 3)  # a quarter of the weight on residue
     w = np.zeros(n + 1)
     v, t = w.copy(), 1.0
     for _ in range(steps):
-        z = np.bincount(row, value * v[col], len(rows)) + v[n]
+        z = np.bincount(row, value * v[cols], len(sizes)) + v[n]
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        grad = np.append(np.bincount(col, value * g[row], n), g.sum()) + l2 * np.append(v[:n], 0)
+        grad = np.append(np.bincount(cols, value * g[row], n), g.sum()) + l2 * np.append(v[:n], 0)
         new = v - 3.5 * grad
         t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         v = new + (old - 1) / t * (new - w)
@@ -168,17 +207,22 @@ def _fit(rows: list[list[int]], y: np.ndarray, seen: np.ndarray, l2: float, step
     return w
 
 
-def scores(rows: list[list[int]], w: np.ndarray) -> np.ndarray:
-    return np.array([w[r].sum() / np.sqrt(max(len(r), 1)) + w[-1] for r in rows])
+def scores(cols: np.ndarray, ends: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Score of every sparse row."""
+    sizes = np.diff(ends, prepend=0)
+    row = np.repeat(np.arange(len(ends)), sizes)
+    return np.bincount(row, w[cols], len(ends)) / np.sqrt(np.maximum(sizes, 1)) + w[-1]
 
 
 def train(docs: DataFrame, key: str, text: str, host: str, max_docs: int = 20_000, max_segments: int = 30_000, l2: float = 1e-5, steps: int = 250) -> Model:
     """Fit on a bounded sample of weakly labelled segments.
 
     Of at most about ``max_docs`` documents (chosen by a hash of the key) at most
-    ``max_segments`` distinct segments of each label are taken (by their hash); a fifth of the
-    hosts is held out, and precision and recall of the weak labels there are kept in
-    ``Model.validation``. Without labelled rows of both kinds the model scores all as content.
+    ``max_segments`` distinct segments of each label are taken by priority sampling: a segment
+    that occurs c times has priority c / u, with u from its hash, so frequent ones are
+    always in the sample, whatever its bound. A fifth of the hosts is held out, and precision
+    and recall of the weak labels there are kept in ``Model.validation``. Without labelled rows
+    of both kinds the model scores all as content.
     """
     total = docs.count()
     some = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("h")).where("t IS NOT NULL")
@@ -186,37 +230,49 @@ def train(docs: DataFrame, key: str, text: str, host: str, max_docs: int = 20_00
         some = some.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(1_000_000 * max_docs / total))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = Features()
         for b in batches:
-            seen: dict[int, tuple] = {}
+            parts, at, count, ys, hosts = [], [], [], [], []
             for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                parts = segments(t)
-                for i, s in ((i, x) for i, p in enumerate(parts) for x in windows(p)):
+                whole = segments(t)
+                for i, s in ((i, x) for i, p in enumerate(whole) for x in windows(p)):
                     y = weak_label(s)
                     if y is not None:
-                        f = features(s, i, len(parts))
-                        k = xxhash.xxh64_intdigest(str(f)) >> 1
-                        seen[k] = (y, h, f, seen[k][3] + 1 if k in seen else 1)
-            cols = list(zip(*((k, *v) for k, v in seen.items()), strict=True)) or [[]] * 5
+                        parts.append(s), at.append(i), count.append(len(whole)), ys.append(y), hosts.append(h)
+            cols, ends = hashed.rows(parts, at, count)
+            f = np.split(cols.astype(np.int32), ends[:-1]) if parts else []
+            seen: dict[int, list] = {}
+            for y, h, x in zip(ys, hosts, f, strict=True):
+                k = xxhash.xxh64_intdigest(x.tobytes()) >> 1
+                if k in seen:
+                    seen[k][3] += 1
+                else:
+                    seen[k] = [y, h, x, 1]
+            rows = list(zip(*((k, *v) for k, v in seen.items()), strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.int32()), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "y", "h", "f", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["id", "y", "h", "f", "c"])
 
     seg = some.select("t", "h").mapInArrow(label, "id long, y boolean, h string, f array<int>, c long")
-    first = Window.partitionBy("y").orderBy("id")
-    rows = seg.withColumn("n", F.row_number().over(first)).where(F.col("n") <= max_segments).select("y", "h", "f", "c").collect()
-    rows.sort(key=lambda r: (r.y, r.h, r.f))
+    seg = seg.groupBy("id").agg(F.max("y").alias("y"), F.min("h").alias("h"), F.first("f").alias("f"), F.sum("c").alias("c"))
+    share = (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) + 1) / float(1 << 20)
+    seg = cut(seg.withColumn("priority", F.col("c") / share))
+    rows = [r for y in (True, False) for r in seg.where(F.col("y") == y).orderBy(F.desc("priority"), "id").limit(max_segments).collect()]
+    drop(seg)
     y = np.array([r.y for r in rows], bool)
     if not y.any() or y.all():
         return Model(np.append(np.zeros(1 << BITS), -1.0), {"segments": float(len(rows))})
     seen = np.array([r.c for r in rows], np.float64)
     held = np.array([xxhash.xxh32_intdigest(r.h) % 5 == 0 for r in rows])
-    f = [r.f for r in rows]
+    sizes = np.array([len(r.f) for r in rows], np.int64)
+    cols = np.concatenate([np.array(r.f, np.int64) for r in rows])
+    in_held = np.repeat(held, sizes)
     figures = {"segments": float(len(rows)), "positive": float(y.sum())}
     if held.any() and y[~held].any() and not y[~held].all():
-        w = _fit([x for x, o in zip(f, held, strict=True) if not o], y[~held], seen[~held], l2, steps)
-        got, want = scores([x for x, o in zip(f, held, strict=True) if o], w) > 0, y[held]
+        w = _fit(cols[~in_held], sizes[~held], y[~held], seen[~held], l2, steps)
+        got, want = scores(cols[in_held], np.cumsum(sizes[held]), w) > 0, y[held]
         hit = float((got & want).sum())
         figures |= {"unseen_hosts": float(len({r.h for r, o in zip(rows, held, strict=True) if o})), "precision": hit / max(float(got.sum()), 1.0), "recall": hit / max(float(want.sum()), 1.0)}
-    return Model(_fit(f, y, seen, l2, steps), figures)
+    return Model(_fit(cols, sizes, y, seen, l2, steps), figures)
 
 
 def residue_scores(docs: DataFrame, key: str, text: str, model: Model, threshold: float = 0.0) -> DataFrame:
@@ -231,26 +287,26 @@ def residue_scores(docs: DataFrame, key: str, text: str, model: Model, threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value.astype(np.float64)
+        hashed = Features()
         for b in batches:
-            out = []
+            parts, at, count, ends = [], [], [], []
             for t in b.column(1).to_pylist():
-                best = (False, None, None)
                 whole = segments(t) if t else []
-                at = [(i, x) for i, p in enumerate(whole) for x in windows(p)]
-                parts = [x for _, x in at]
-                if parts:
-                    s = scores([features(x, i, len(whole)) for i, x in at], w)
-                    for i in np.argsort(-s):
-                        if s[i] <= threshold:
-                            break
-                        x = parts[i]
-                        # exact check: speaking about residue, without an unfilled place or filler in the segment itself
-                        if "pl4ce" in x or weak_label(x) is True or not _ABOUT.search(x):
-                            best = (True, float(s[i]), x[:200])
-                            break
-                    if not best[0]:
-                        best = (False, float(s.max()), None)
+                for i, p in enumerate(whole):
+                    for x in windows(p):
+                        parts.append(x), at.append(i), count.append(len(whole))
+                ends.append(len(parts))
+            s = scores(*hashed.rows(parts, at, count), w) if parts else np.zeros(0)
+            out, lo = [], 0
+            for hi in ends:
+                best = (False, None, None)
+                if hi > lo:
+                    here = np.flatnonzero(s[lo:hi] > threshold) + lo
+                    # exact check: speaking about residue, without an unfilled place or filler in the segment itself
+                    hit = next((i for i in here[np.argsort(-s[here], kind="stable")] if _stands(parts[i])), None)
+                    best = (False, float(s[lo:hi].max()), None) if hit is None else (True, float(s[hit]), parts[hit][:200])
                 out.append(best)
+                lo = hi
             cols = list(zip(*out, strict=True)) or [[]] * 3
             kinds = [pa.bool_(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["key", "residue", "score", "segment"])
