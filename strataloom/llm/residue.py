@@ -226,6 +226,7 @@ def train(docs: DataFrame, key: str, text: str, host: str, max_docs: int = 20_00
     """
     total = docs.count()
     some = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("h")).where("t IS NOT NULL")
+    some = some.withColumn("held", F.pmod(F.xxhash64("h"), F.lit(5)) == 0)
     if total > max_docs:
         some = some.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(1_000_000 * max_docs / total))
 
@@ -243,17 +244,17 @@ def train(docs: DataFrame, key: str, text: str, host: str, max_docs: int = 20_00
             f = np.split(cols.astype(np.int32), ends[:-1]) if parts else []
             seen: dict[int, list] = {}
             for y, h, x in zip(ys, hosts, f, strict=True):
-                k = xxhash.xxh64_intdigest(x.tobytes()) >> 1
+                k = (xxhash.xxh64_intdigest(x.tobytes()) & ~3 | 2 * y | h) - 2**63
                 if k in seen:
                     seen[k][3] += 1
                 else:
                     seen[k] = [y, h, x, 1]
             rows = list(zip(*((k, *v) for k, v in seen.items()), strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.int32()), pa.int64()]
+            kinds = [pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int32()), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["id", "y", "h", "f", "c"])
 
-    seg = some.select("t", "h").mapInArrow(label, "id long, y boolean, h string, f array<int>, c long")
-    seg = seg.groupBy("id").agg(F.max("y").alias("y"), F.min("h").alias("h"), F.first("f").alias("f"), F.sum("c").alias("c"))
+    seg = some.select("t", "held").mapInArrow(label, "id long, y boolean, h boolean, f array<int>, c long")
+    seg = seg.groupBy("id", "y", "h").agg(F.first("f").alias("f"), F.sum("c").alias("c"))
     share = (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) + 1) / float(1 << 20)
     seg = cut(seg.withColumn("priority", F.col("c") / share))
     rows = [r for y in (True, False) for r in seg.where(F.col("y") == y).orderBy(F.desc("priority"), "id").limit(max_segments).collect()]
@@ -262,7 +263,7 @@ def train(docs: DataFrame, key: str, text: str, host: str, max_docs: int = 20_00
     if not y.any() or y.all():
         return Model(np.append(np.zeros(1 << BITS), -1.0), {"segments": float(len(rows))})
     seen = np.array([r.c for r in rows], np.float64)
-    held = np.array([xxhash.xxh32_intdigest(r.h) % 5 == 0 for r in rows])
+    held = np.array([r.h for r in rows], bool)
     sizes = np.array([len(r.f) for r in rows], np.int64)
     cols = np.concatenate([np.array(r.f, np.int64) for r in rows])
     in_held = np.repeat(held, sizes)
@@ -271,7 +272,7 @@ def train(docs: DataFrame, key: str, text: str, host: str, max_docs: int = 20_00
         w = _fit(cols[~in_held], sizes[~held], y[~held], seen[~held], l2, steps)
         got, want = scores(cols[in_held], np.cumsum(sizes[held]), w) > 0, y[held]
         hit = float((got & want).sum())
-        figures |= {"unseen_hosts": float(len({r.h for r, o in zip(rows, held, strict=True) if o})), "precision": hit / max(float(got.sum()), 1.0), "recall": hit / max(float(want.sum()), 1.0)}
+        figures |= {"unseen_hosts": float(some.where("held").select("h").distinct().count()), "precision": hit / max(float(got.sum()), 1.0), "recall": hit / max(float(want.sum()), 1.0)}
     return Model(_fit(cols, sizes, y, seen, l2, steps), figures)
 
 
