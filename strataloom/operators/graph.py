@@ -34,6 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("c")))
+    old = [label]
     while True:
         near = both.join(label.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("n"))
         low = label.join(near, "id").select("id", F.least("c", "n").alias("n"), F.col("c").alias("was"))
@@ -42,10 +43,10 @@ def components(edges: DataFrame) -> DataFrame:
         up = cut(low.join(hook, "id", "left").select("id", F.least("n", F.coalesce("h", "n")).alias("n"), "was"))
         jump = up.select(F.col("id").alias("n"), F.col("n").alias("j"))
         new = cut(up.join(jump, "n", "left").select("id", F.least("n", F.coalesce("j", "n")).alias("c"), "was"))
-        done = is_empty(new.where("c <> was"))
-        drop(label, up)
-        label = new.select("id", "c")
-        if done:
+        drop(*old, up)
+        old, label = [new], new.select("id", "c")
+        if is_empty(new.where("c <> was")):
+            drop(both)
             return label.withColumnRenamed("c", "component")
 
 
