@@ -1,24 +1,30 @@
 """Clusters of mutually similar records by power-iteration spectral clustering.
 
 The affinity of two distinct vectors is 1 where their cosine reaches the threshold; its
-row-normalised form (each vector linked to itself, weighted by its records) is applied
-to several pseudorandom vectors at once. What the iteration settles on is constant within
-a cluster and differs between clusters, so the columns embed each record. k-means over
-the embedding starts from the occupied cells of a fine grid and moves each record to the
-nearest centroid among its own and its neighbours'. An exact check follows: a label may
-cross no affinity, which is repaired by passing on the smallest label where it does.
+row-normalised form (each vector linked to itself) is applied to several pseudorandom
+vectors at once. What the iteration settles on is constant within a cluster and differs
+between clusters, so the columns embed each record. Rows that equal all their neighbours
+have settled, and only the others are iterated on. k-means over the embedding starts from
+the occupied cells of a fine grid and moves rows between the centroids of their
+neighbours until none moves; its clusters are the result. An exact check looks for
+affinities that join two of them, which happens only where the iteration was ended before
+it settled, and unites those clusters.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strataloom.llm.similar import Blocks, groups, links, usable_vectors
+from strataloom.llm.similar import Hashing, _matrix, _units, groups, links, usable_vectors
+from strataloom.operators.graph import components
 from strataloom.runtime import cut, drop, is_empty
 
 
@@ -33,81 +39,85 @@ class Clusters:
     vectors: DataFrame
 
 
-def spectral_labels(nodes: DataFrame, edges: DataFrame, columns: int = 4, rounds: int = 4, settled: float = 1e-9) -> DataFrame:
+def spectral_labels(edges: DataFrame, columns: int = 4, rounds: int = 30, settled: float = 1e-9) -> DataFrame:
     """(rid, label): the cluster of every node that has an edge; label is its smallest rid.
 
-    nodes: rid, weight (its number of records). edges: a, b (either order, no repeats).
-    The iteration ends when no affinity joins two rows further apart than ``settled``,
-    or after ``rounds``; the exact check makes the result independent of when it ends.
+    edges: a, b (either order, no repeats). The iteration ends when no affinity joins two rows
+    further apart than ``settled``, or after ``rounds``.
     """
-    w = nodes.select("rid", "weight")
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    start = F.array(*[(F.xxhash64("rid", F.lit(j)) / float(2**63)).alias(str(j)) for j in range(columns)])
-    x = cut(both.select(F.col("a").alias("rid")).distinct().join(w, "rid").select("rid", "weight", start.alias("x")))
+    start = lambda c: [F.xxhash64(c, F.lit(j)) / float(2**63) for j in range(columns)]
     names = [f"x{j}" for j in range(columns)]
+    # the first step needs no join: the pseudorandom vectors are functions of the ids
+    flow = both.groupBy("a").agg(F.count("*").alias("d"), *[F.sum(v).alias(n) for v, n in zip(start("b"), names, strict=True)])
+    moving = cut(flow.select(F.col("a").alias("rid"), *[((F.col(n) + v) / (F.col("d") + 1)).alias(n) for v, n in zip(start("a"), names, strict=True)]))
     done: list[DataFrame] = []
-    edges_left, moving = both, x
+    old, left = None, both
     for _ in range(rounds):
-        now = reduce(DataFrame.unionByName, [*done, moving]).withColumnRenamed("rid", "b")
-        flow = edges_left.join(now, "b").select("a", "weight", "x")
-        flow = flow.unionByName(moving.select(F.col("rid").alias("a"), "weight", "x"))
-        total = flow.groupBy("a").agg(
-            F.sum("weight").alias("d"),
-            *[F.sum(F.col("weight") * F.col("x")[j]).alias(n) for j, n in enumerate(names)],
-            *[F.min(F.col("x")[j]).alias(f"lo{j}") for j in range(columns)],
-            *[F.max(F.col("x")[j]).alias(f"hi{j}") for j in range(columns)],
-        )
-        apart = F.greatest(*[F.col(f"hi{j}") - F.col(f"lo{j}") for j in range(columns)])
-        new = total.select(F.col("a").alias("rid"), F.array(*[F.col(n) / F.col("d") for n in names]).alias("x"), apart.alias("apart"))
-        new = cut(new.join(moving.select("rid", "weight"), "rid").select("rid", "weight", "x", "apart"))
+        now = reduce(DataFrame.unionByName, [*[d.select("rid", *names) for d in done], moving.select("rid", *names)])
+        flow = left.join(now.withColumnRenamed("rid", "b"), "b").groupBy("a").agg(
+            F.count("*").alias("d"),
+            *[F.sum(n).alias(f"s{n}") for n in names], *[F.min(n).alias(f"lo{n}") for n in names], *[F.max(n).alias(f"hi{n}") for n in names],
+        )
+        apart = F.greatest(*[F.greatest(F.col(n), F.col(f"hi{n}")) - F.least(F.col(n), F.col(f"lo{n}")) for n in names])
+        new = moving.join(flow, moving.rid == flow.a).select("rid", *[((F.col(n) + F.col(f"s{n}")) / (F.col("d") + 1)).alias(n) for n in names], apart.alias("apart"))
+        new = cut(new)
         # a row that equals all its neighbours has settled; the others go on
-        done.append(new.where(F.col("apart") <= settled).select("rid", "weight", "x"))
-        moving = new.where(F.col("apart") > settled).select("rid", "weight", "x")
+        done.append(new.where(F.col("apart") <= settled))
+        if old is not None and not done[:-1]:
+            drop(old)
+        old, moving = new, new.where(F.col("apart") > settled)
         if is_empty(moving):
             break
-        edges_left = cut(edges_left.join(moving.select(F.col("rid").alias("a")), "a", "left_semi"))
-    x = reduce(DataFrame.unionByName, [*done, moving])
-    # k-means: seeds are the occupied grid cells, centroids their weighted means
-    cell = F.xxhash64(*[F.round(F.col("x")[j], 6) + 0.0 for j in range(columns)])
-    at = x.withColumn("cell", cell)
-    centre = at.groupBy("cell").agg(
-        F.min("rid").alias("label"), *[(F.sum(F.col("weight") * F.col("x")[j]) / F.sum("weight")).alias(n) for j, n in enumerate(names)]
-    )
-    at = cut(at.join(centre.select("cell", "label", F.array(*names).alias("c")), "cell").select("rid", "x", "label", "c"))
+        left = left.join(moving.select(F.col("rid").alias("a")), "a", "left_semi")
+    x = reduce(DataFrame.unionByName, [d.select("rid", *names) for d in [*done, moving]])
+    return _kmeans(x, both, names)
+
+
+def _kmeans(x: DataFrame, both: DataFrame, names: list[str], most: int = 20) -> DataFrame:
+    """k-means from the occupied grid cells, and the exact check."""
+    cell = F.xxhash64(*[F.round(F.col(n), 6) + 0.0 for n in names])
+    seeds = x.groupBy(cell.alias("cell")).agg(F.min("rid").alias("label"))
+    at = cut(x.withColumn("cell", cell).join(seeds, "cell").select("rid", "label", *names))
+    first = at
+    for _ in range(most):
+        labels = at.select("rid", "label")
+        to = both.join(labels.select(F.col("rid").alias("b"), F.col("label").alias("other")), "b").join(labels.select(F.col("rid").alias("a"), "label"), "a")
+        crossed = cut(to.where("label <> other").select("a", "label", "other").distinct())
+        if is_empty(crossed):
+            drop(crossed)
+            return labels  # every affinity lies within one centroid's records
+        centre = at.groupBy("label").agg(*[F.avg(n).alias(f"c{n}") for n in names])
+        rivals = crossed.select(F.col("a").alias("rid"), F.col("other").alias("label")).join(at.drop("label"), "rid").unionByName(at.join(crossed.select(F.col("a").alias("rid")).distinct(), "rid", "left_semi"))
+        far = sum((F.col(n) - F.col(f"c{n}")) * (F.col(n) - F.col(f"c{n}")) for n in names)
+        best = rivals.join(centre, "label").groupBy("rid").agg(F.min(F.struct(far.alias("far"), "label")).alias("m")).select("rid", F.col("m.label").alias("to"))
+        new = cut(at.join(best, "rid", "left").select("rid", F.coalesce("to", "label").alias("label"), *names, (F.col("to") != F.col("label")).alias("moved")))
+        moved = not is_empty(new.where("moved"))
+        if at is not first:
+            drop(at)
+        at = new
+        if not moved:
+            break
+        drop(crossed)
+    # exact check: clusters that an affinity joins are one; there are far fewer of them than of records
     labels = at.select("rid", "label")
     to = both.join(labels.select(F.col("rid").alias("b"), F.col("label").alias("other")), "b").join(labels.select(F.col("rid").alias("a"), "label"), "a")
-    crossed = cut(to.where("label <> other").select("a", "other").distinct())
-    if is_empty(crossed):
-        return labels  # every affinity lies within one centroid's records
-    far = lambda c: sum((F.col("x")[j] - c[j]) * (F.col("x")[j] - c[j]) for j in range(columns))
-    rivals = crossed.select(F.col("a").alias("rid"), F.col("other").alias("label")).join(at.groupBy("label").agg(F.first("c").alias("c")), "label")
-    rivals = rivals.join(at.select("rid", "x"), "rid").select("rid", "x", "label", "c").unionByName(at)
-    labels = cut(rivals.groupBy("rid").agg(F.min(F.struct(far(F.col("c")).alias("far"), "label")).alias("m")).select("rid", "m.label"))
-    drop(at)
-    # exact check
-    while True:
-        ends = both.select("a", F.col("b").alias("rid")).join(labels, "rid").groupBy("a").agg(F.min("label").alias("low"))
-        new = labels.join(ends, labels.rid == ends.a).select("rid", F.least("label", "low").alias("label"), (F.col("low") < F.col("label")).alias("changed"))
-        new = cut(new)
-        drop(labels)
-        labels = new.select("rid", "label")
-        if is_empty(new.where("changed")):
-            break
-    return labels
+    joined = components(to.where("label < other").select(F.col("label").alias("a"), F.col("other").alias("b")).distinct())
+    labels = labels.join(joined, labels.label == joined.id, "left").select("rid", F.coalesce("component", "label").alias("label"))
+    least = labels.groupBy("label").agg(F.min("rid").alias("least"))
+    return cut(labels.join(least, "label").select("rid", F.col("least").alias("label")))
 
 
-def similarity_clusters(df: DataFrame, key: str, vector: str, profile: str, min_cos: float = 0.9, how: Blocks = Blocks()) -> Clusters:
+def similarity_clusters(df: DataFrame, key: str, vector: str, profile: str, min_cos: float = 0.9, how: Hashing = Hashing()) -> Clusters:
     """Cluster the usable vectors of ``df`` (see ``usable_vectors`` for what is left out)."""
-    members, vectors = groups(usable_vectors(df, key, vector, profile), ordered=False)
-    drop(df)  # only if it is a table of ``cut``
+    members, vectors = groups(usable_vectors(df, key, vector, profile))
     near = links(vectors, min_cos, how)
-    weight = members.groupBy("rid").agg(F.count("*").cast("double").alias("weight"))
-    labels = spectral_labels(weight, near)
-    alone = weight.select("rid").join(labels, "rid", "left_anti").select("rid", F.col("rid").alias("label"))
+    labels = spectral_labels(near)
+    alone = vectors.select("rid").join(labels, "rid", "left_anti").select("rid", F.col("rid").alias("label"))
     return Clusters(labels.unionByName(alone), members, near, vectors)
 
 
-def unit_clusters(units: DataFrame, vectors: DataFrame, min_cos: float = 0.9, how: Blocks = Blocks()) -> tuple[DataFrame, Clusters]:
+def unit_clusters(units: DataFrame, vectors: DataFrame, min_cos: float = 0.9, how: Hashing = Hashing()) -> tuple[DataFrame, Clusters]:
     """(unit_id, cluster_id, rid) of the units that share a cluster with another unit.
 
     units: unit_id, embedding_key; vectors: embedding_key, profile_key, vector. cluster_id
@@ -116,7 +126,7 @@ def unit_clusters(units: DataFrame, vectors: DataFrame, min_cos: float = 0.9, ho
     a usable vector are in no cluster.
     """
     units = units.where(F.col("unit_id").isNotNull()).groupBy("unit_id").agg(F.min("embedding_key").alias("key"))
-    used = cut(vectors.join(units.select(F.col("key").alias("embedding_key")).distinct(), "embedding_key", "left_semi").select("embedding_key", "profile_key", "vector"))
+    used = vectors.join(units.select(F.col("key").alias("embedding_key")).distinct(), "embedding_key", "left_semi").select("embedding_key", "profile_key", "vector")
     c = similarity_clusters(used, "embedding_key", "vector", "profile_key", min_cos, how)
     at = units.join(c.members.select("key", "rid"), "key").join(c.labels, "rid").select("unit_id", "rid", "label")
     at = cut(at)
@@ -131,15 +141,33 @@ def describe(at: DataFrame, c: Clusters, typical: int = 3) -> DataFrame:
     count 1. It is the product of its unit vector with the sum of the cluster's, less itself.
     """
     w = at.groupBy("rid", "cluster_id").agg(F.count("*").alias("n"))
-    v = F.col("vector").cast("array<double>")
-    top = F.array_max(F.transform(v, F.abs))  # lengths down to the smallest floats
-    v = c.vectors.select("rid", F.transform(v, lambda x: x / top).alias("v"))
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    unit = cut(w.join(v.select("rid", F.transform("v", lambda x: x / length).alias("u")), "rid"))
-    part = unit.select("cluster_id", "n", F.posexplode("u").alias("i", "x")).groupBy("cluster_id", "i").agg(F.sum(F.col("x") * F.col("n")).alias("x"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each batch's sum of the unit vectors of every cluster in it."""
+        for b in batches:
+            ids, n, dim = (b.column(i).to_numpy() for i in (0, 1, 2))
+            for d in np.unique(dim).tolist():
+                here = np.flatnonzero(dim == d)
+                u = _units(_matrix(b.column(3).take(pa.array(here)), d).astype(np.float64)) * n[here, None]
+                own, to = np.unique(ids[here], return_inverse=True)
+                total = np.zeros((len(own), d))
+                np.add.at(total, to, u)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["cluster_id", "u"])
+
+    def pulls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dim = b.column(1).to_numpy()
+            for d in np.unique(dim).tolist():
+                t = b.take(pa.array(np.flatnonzero(dim == d)))
+                u = _units(_matrix(t.column(2), d).astype(np.float64))
+                total = t.column(3).flatten().to_numpy().reshape(len(u), d)
+                yield pa.RecordBatch.from_arrays([t.column(0), pa.array(np.einsum("ij,ij->i", u, total) - 1)], names=["rid", "affinity"])
+
+    unit = w.join(c.vectors.select("rid", "dim", "vector"), "rid")
+    part = unit.select("cluster_id", "n", "dim", "vector").mapInArrow(sums, "cluster_id long, u array<double>")
+    part = part.select("cluster_id", F.posexplode("u").alias("i", "x")).groupBy("cluster_id", "i").agg(F.sum("x").alias("x"))
     total = part.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p.x).alias("total"))
-    pull = F.aggregate(F.zip_with("u", "total", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    rank = unit.join(total, "cluster_id").select("rid", (pull - 1).alias("affinity"))
+    rank = unit.join(total, "cluster_id").select("rid", "dim", "vector", "total").mapInArrow(pulls, "rid long, affinity double")
     first = Window.partitionBy("cluster_id").orderBy(F.desc(F.round("affinity", 6)), "unit_id")
     top = at.join(rank, "rid").withColumn("k", F.row_number().over(first)).where(F.col("k") <= typical)
     return top.groupBy("cluster_id").agg(

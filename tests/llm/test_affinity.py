@@ -1,7 +1,7 @@
 import numpy as np
 
 from strataloom.llm.clusters import describe, unit_clusters
-from strataloom.llm.similar import Blocks
+from strataloom.llm.similar import Hashing
 
 SCHEMA = "embedding_key string, vector array<float>, profile_key string, cos double"
 
@@ -14,7 +14,7 @@ def test_typical_members_of_large_clusters(spark):
     x[80:] = x[70]
     rows = [(f"{i:03d}", v.tolist(), "p", 0.0) for i, v in enumerate(x)]
     u = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "unit_id long, embedding_key string")
-    at, c = unit_clusters(u, spark.createDataFrame(rows, SCHEMA), how=Blocks(bucket_rows=16, tile_links=5))
+    at, c = unit_clusters(u, spark.createDataFrame(rows, SCHEMA), how=Hashing(bucket_rows=16))
     members = sorted(r.unit_id for r in at.collect())
     y = x[members].astype(float)
     y /= np.linalg.norm(y, axis=1, keepdims=True)

@@ -84,7 +84,6 @@ def test_clusters(spark):
 
 def test_labels_of_chains(spark):
     n = 60
-    nodes = spark.createDataFrame([(i, 1.0) for i in range(n + 5)], "rid long, weight double")
     edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)] + [(n, n + 1), (n + 2, n + 3), (n + 3, n + 4), (n + 2, n + 4)], "a long, b long")
-    got = {r.rid: r.label for r in spectral_labels(nodes, edges).collect()}
+    got = {r.rid: r.label for r in spectral_labels(edges).collect()}
     assert got == {i: 0 if i < n else n if i < n + 2 else n + 2 for i in range(n + 5)}
