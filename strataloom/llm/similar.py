@@ -39,7 +39,8 @@ _PROFILES_BROADCAST = 10_000
 @dataclass(frozen=True)
 class Hashing:
     recall: float = 0.9  # share of the pairs at the least cosine that the tables are sized for
-    tables: int = 0  # 0: as many as that takes
+    tables: int = 0  # 0: as many as that takes, but ``least_tables``
+    least_tables: int = 5  # small collections are searched better than they must be, for clusters' sake
     width: int = 0  # functions of a table; 0: by the number of vectors
     probes: int = 7
     cells: float = 5.0  # cell width in distances of the least cosine wanted
@@ -53,7 +54,7 @@ class Hashing:
         """With width and tables for ``n`` vectors."""
         near, far = math.sqrt(max(2 - 2 * min_cos, 0.02)), math.sqrt(2.0)
         width = self.width or max(2, math.ceil(math.log(max(n, 1) / self.bucket_fill + 1) / -math.log(_same_cell(far, self.cells * near))))
-        tables = self.tables or math.ceil(math.log(1 - self.recall) / math.log(1 - _found(width, self.probes, self.cells, near)))
+        tables = self.tables or max(self.least_tables, math.ceil(math.log(1 - self.recall) / math.log(1 - _found(width, self.probes, self.cells, near))))
         return replace(self, width=width, tables=tables)
 
 
