@@ -39,7 +39,7 @@ class Clusters:
     vectors: DataFrame
 
 
-def spectral_labels(edges: DataFrame, columns: int = 4, rounds: int = 30, settled: float = 1e-9) -> DataFrame:
+def spectral_labels(edges: DataFrame, columns: int = 4, rounds: int = 5, settled: float = 1e-9) -> DataFrame:
     """(rid, label): the cluster of every node that has an edge; label is its smallest rid.
 
     edges: a, b (either order, no repeats). The iteration ends when no affinity joins two rows
@@ -52,7 +52,7 @@ def spectral_labels(edges: DataFrame, columns: int = 4, rounds: int = 30, settle
     flow = both.groupBy("a").agg(F.count("*").alias("d"), *[F.sum(v).alias(n) for v, n in zip(start("b"), names, strict=True)])
     moving = cut(flow.select(F.col("a").alias("rid"), *[((F.col(n) + v) / (F.col("d") + 1)).alias(n) for v, n in zip(start("a"), names, strict=True)]))
     done: list[DataFrame] = []
-    old, left = None, both
+    left = both
     for _ in range(rounds):
         now = reduce(DataFrame.unionByName, [*[d.select("rid", *names) for d in done], moving.select("rid", *names)])
         flow = left.join(now.withColumnRenamed("rid", "b"), "b").groupBy("a").agg(
@@ -64,12 +64,12 @@ def spectral_labels(edges: DataFrame, columns: int = 4, rounds: int = 30, settle
         new = cut(new)
         # a row that equals all its neighbours has settled; the others go on
         done.append(new.where(F.col("apart") <= settled))
-        if old is not None and not done[:-1]:
-            drop(old)
-        old, moving = new, new.where(F.col("apart") > settled)
+        moving = new.where(F.col("apart") > settled)
         if is_empty(moving):
             break
-        left = left.join(moving.select(F.col("rid").alias("a")), "a", "left_semi")
+        rest = cut(left.join(moving.select(F.col("rid").alias("a")), "a", "left_semi"))
+        drop(left)  # only if it is a table of ``cut``
+        left = rest
     x = reduce(DataFrame.unionByName, [d.select("rid", *names) for d in [*done, moving]])
     return _kmeans(x, both, names)
 
