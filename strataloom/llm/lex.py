@@ -105,7 +105,7 @@ def lex(text: str, language: str) -> tuple[list[int], list[int], list[int]]:
     """
     find = _LEXERS[language]
     words = KEYWORD.get(language, {})
-    code, ident, num, string = CODE, CODE["IDENT"], CODE["NUM"], CODE["STR"]
+    code, ident, num, string, binary, operators = CODE, CODE["IDENT"], CODE["NUM"], CODE["STR"], CODE["BIN"], _OPERATOR_CODE
     js, go, py, sh = language in ("javascript", "typescript", "jsx", "tsx"), language == "go", language == "python", language == "bash"
     cls: list[int] = []
     start: list[int] = []
@@ -115,13 +115,14 @@ def lex(text: str, language: str) -> tuple[list[int], list[int], list[int]]:
         at = 1
     line_start = True
     put_c, put_s, put_e = cls.append, start.append, end.append
+    quoted = ("s", "here", "h") if language == "rust" else ("s", "here", "q", "word")
+    tokens = find.finditer(text, at)
     while True:
-        m = find.search(text, at)
+        m = next(tokens, None)
         if m is None:
             break
-        kind, a, b = m.lastgroup, m.start(), m.end()
-        if kind in ("h", "q", "word"):
-            kind = "s" if language == "rust" else "here"
+        kind = m.lastgroup
+        a, b = m.span()
         if go and last in _GO_END and "\n" in text[at:a]:
             put_c(code[";"]), put_s(a), put_e(a)
             last = code[";"]
@@ -149,11 +150,9 @@ def lex(text: str, language: str) -> tuple[list[int], list[int], list[int]]:
                 if r:
                     put_c(string), put_s(a), put_e(r.end())
                     last, at = string, r.end()
+                    tokens = find.finditer(text, at)
                     continue
-            if go and o[0] == "." and o == "...":
-                k = code[".."]
-            else:
-                k = _OPERATOR_CODE.get(o, code["BIN"])
+            k = operators.get(o, binary)
             if py:
                 if o in "([{":
                     nest += 1
@@ -161,7 +160,7 @@ def lex(text: str, language: str) -> tuple[list[int], list[int], list[int]]:
                     nest -= 1
         elif kind == "n":
             k = num
-        elif kind in ("s", "here"):
+        elif kind in quoted:
             k = string
         elif kind == "c":
             if go and last in _GO_END and "\n" in m[0]:

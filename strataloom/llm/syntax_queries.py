@@ -27,8 +27,8 @@ def p5_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of invalid files by repository and language."""
     files, bad = _faults(spark, sf_dir)
-    bad = bad.select("repo", "path", F.lit(1).alias("bad"))
-    at = files.join(bad, files.repo.eqNullSafe(bad.repo) & files.path.eqNullSafe(bad.path), "left").select(files.repo, "language", "bad")
+    bad = bad.select(F.col("repo").alias("bad_repo"), F.col("path").alias("bad_path"), F.lit(1).alias("bad"))
+    at = files.join(bad, F.col("repo").eqNullSafe(F.col("bad_repo")) & F.col("path").eqNullSafe(F.col("bad_path")), "left").select("repo", "language", "bad")
     out = at.groupBy("repo", "language").agg(F.count("*").alias("n_files"), F.count("bad").alias("n_invalid"))
     return out.withColumn("rate", F.col("n_invalid") / F.col("n_files"))
 
