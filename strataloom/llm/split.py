@@ -94,8 +94,9 @@ def _inside(line: str) -> int:
 def split_text(text: str, max_bytes: int = 8192, max_lines: int = 120, overlap: int = 2) -> list[tuple[str, str, int]]:
     """(overlap, body, lines before the piece) of each piece; the bodies joined are ``text``.
 
-    Repeated lines count towards the limits, which hold for overlap + body. ``overlap``
-    lines that do not fit beside a body are left off. An empty text is one empty piece.
+    Repeated lines count towards the limits, which hold for overlap + body. They are left off
+    only where they do not fit beside the next line, and before further pieces of a line that
+    exceeds the limit itself, whose piece before is no whole line. An empty text is one empty piece.
     """
     size = lambda s: len(s.encode("utf-8", "surrogatepass"))
     lines = re.findall(r"[^\n]*\n|[^\n]+\Z", text)
@@ -106,9 +107,9 @@ def split_text(text: str, max_bytes: int = 8192, max_lines: int = 120, overlap:
     bodies: list[str] = []
 
     def room(first: int) -> int:
-        """Bytes kept free for the lines repeated before line ``first``."""
+        """Bytes kept free for the lines repeated before line ``first``: none if that line does not fit beside them."""
         need = ends[first] - ends[max(0, first - overlap)]
-        return need if need <= max_bytes // 4 else 0
+        return need if ends[first + 1] - ends[first] + need <= max_bytes else 0
 
     def by_line(a: int, b: int) -> None:
         n = min(overlap, a)

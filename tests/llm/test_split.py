@@ -64,3 +64,14 @@ def test_odd_texts(bad):
     got = split_text(bad)
     assert "".join(b for _, b, _ in got) == bad
     assert all(len((o + b).encode()) <= 8192 and len(lines(o + b)) <= 120 for o, b, _ in got)
+
+
+@pytest.mark.parametrize("width", [100, 1500, 2500, 4000])
+def test_overlaps_of_long_lines(width):
+    # two lines are repeated wherever they fit beside a third one
+    text = "".join(f"{i:04d}" + "x" * (width - 5) + "\n" for i in range(40_000 // width))
+    got = split_text(text)
+    assert "".join(b for _, b, _ in got) == text and len(got) > 3
+    fits = 3 * width <= 8192
+    assert all(len(lines(o)) == (2 if fits else 0) for o, _, _ in got[1:])
+    assert all(len((o + b).encode()) <= 8192 for o, b, _ in got)
