@@ -1,18 +1,20 @@
 """Mixing sources to target shares of all tokens.
 
 The texts of each source, in pseudorandom order, form one run of tokens that is cut into
-blocks of fixed length. Each output shard draws how many of its slots go to each source
-(multinomial, given the totals that the shares want); the slots of a source are numbered
-through, mapped through a pseudorandom permutation of its block indices for every repeat,
-and joined to the blocks by index.
+blocks of fixed length. Each output shard draws how many of its slots go to each source:
+the shards are halved again and again, and each half draws its multinomial share of what
+its parent has, so every shard finds its own counts without the others'. The slots of a
+source are numbered through, mapped through a pseudorandom permutation of its block
+indices for every repeat, and joined to the blocks by index.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,6 +46,60 @@ def _runs(sized: DataFrame, parts: int) -> DataFrame:
     return at.select("source", "key", "n", (F.col("base") + F.col("local")).alias("start"))
 
 
+def _halve(have: np.ndarray, room: int, rng: np.random.Generator) -> np.ndarray:
+    """A multinomial draw of ``room`` slots from what each source has, brought within what it has."""
+    total = int(have.sum())
+    draw = rng.multinomial(room, have / total) if total else np.zeros_like(have)
+    low = np.maximum(0, have - (total - room))  # the other half has no room for more
+    draw = np.clip(draw, np.minimum(low, have), have)
+    while (off := room - int(draw.sum())) != 0:
+        free = have - draw if off > 0 else draw - low
+        part = np.minimum(free, np.ceil(abs(off) * (free / free.sum())).astype(np.int64))
+        over = np.maximum(np.cumsum(part) - abs(off), 0)
+        part = np.maximum(part - np.diff(over, prepend=0), 0)
+        draw = draw + part if off > 0 else draw - part
+    return draw
+
+
+def shard_counts(slots: np.ndarray, per: int, first: int, last: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, slots of each source before it, its own slots of each source) for shards from ``first`` to before ``last``."""
+    n = int(slots.sum())
+
+    def go(lo: int, hi: int, before: np.ndarray, have: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if hi <= first or lo >= last:
+            return
+        if hi - lo == 1:
+            yield lo, before, have
+            return
+        mid = (lo + hi) // 2
+        left = _halve(have, min(n, mid * per) - lo * per, np.random.default_rng([seed, lo, hi]))
+        yield from go(lo, mid, before, left)
+        yield from go(mid, hi, before + left, have - left)
+
+    yield from go(0, -(-n // per), np.zeros_like(slots), slots)
+
+
+def permuted(i: np.ndarray, m: int, key: int) -> np.ndarray:
+    """Where a pseudorandom permutation of 0..m-1 takes each i: a Feistel network of six rounds, walked until it ends below m."""
+    half = max(1, ((m - 1).bit_length() + 1) // 2)
+    mask = np.uint64((1 << half) - 1)
+    shift = np.uint64(half)
+    keys = [np.uint64(k) for k in np.random.default_rng([key, 5]).integers(0, 2**63, 6)]
+
+    def once(x: np.ndarray) -> np.ndarray:
+        a, b = x >> shift, x & mask
+        for k in keys:
+            f = (b ^ k) * np.uint64(0x9E3779B97F4A7C15)
+            f = (f ^ (f >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            a, b = b, a ^ ((f ^ (f >> np.uint64(32))) & mask)
+        return a << shift | b
+
+    x = once(i.astype(np.uint64))
+    while (out := np.flatnonzero(x >= m)).size:
+        x[out] = once(x[out])
+    return x.astype(np.int64)
+
+
 def mix_sources(
     sized: DataFrame,
     targets: DataFrame,
@@ -86,39 +142,27 @@ def mix_sources(
     total = int(total if total_tokens is None else min(total, total_tokens / block))
     slots = {s: min(blocks[s] * repeats[s], round(total * share[s])) for s in live}
     n = sum(slots.values())
-    # at most 10,000 shards, whatever the number of blocks
-    per = max(slots_per_shard, -(-n // 10_000))
-    rng = np.random.default_rng(seed)
-    left = np.array([slots[s] for s in live], np.int64)
-    plan, first = [], dict.fromkeys(live, 0)
-    for shard in range(-(-n // per) if n else 0):
-        room = int(min(per, left.sum()))
-        # a multinomial draw, given what is left of every source's total
-        if left.sum() < 10**9:
-            draw = rng.multivariate_hypergeometric(left, room, method="marginals")
-        else:
-            draw = np.minimum(rng.multinomial(room, left / left.sum()), left)
-        left -= draw
-        at_slot = 0
-        for s, d in zip(live, draw.tolist(), strict=True):
-            if d:
-                plan.append((shard, s, at_slot, first[s], d))
-                first[s] += d
-                at_slot += d
-    planned = spark.createDataFrame(plan, "shard int, source string, slot long, j long, n long")
-    perms = []
-    for s in live:
-        for r in range(-(-first[s] // blocks[s])):
-            m = blocks[s]
-            a = int(rng.integers(1, max(2, min(m, 2**62 // m))))
-            while math.gcd(a, m) != 1:
-                a += 1
-            perms.append((s, r, m, a, int(rng.integers(0, m))))
-    perm = spark.createDataFrame(perms, "of string, repeat long, m long, a long, b long")
-    drawn = planned.select("shard", "source", "slot", "j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
-    drawn = drawn.select("shard", "source", (F.col("slot") + F.col("k")).alias("slot"), (F.col("j") + F.col("k")).alias("j"))
-    drawn = drawn.join(F.broadcast(perm), (drawn.source == perm.of) & (F.floor(drawn.j / perm.m) == perm.repeat))
-    drawn = drawn.select("shard", "slot", "source", "repeat", ((F.col("j") % F.col("m") * F.col("a") + F.col("b")) % F.col("m")).alias("block"))
+    per = slots_per_shard
+    size_of, all_slots = [blocks[s] for s in live], np.array([slots[s] for s in live], np.int64)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shards = b.column(0).to_numpy()
+            for shard, before, own in shard_counts(all_slots, per, int(shards[0]), int(shards[-1]) + 1, seed) if len(shards) else ():
+                at_slot = 0
+                for k in np.flatnonzero(own).tolist():
+                    j = np.arange(before[k], before[k] + own[k])
+                    repeat, i = np.divmod(j, size_of[k])
+                    block_of = np.empty_like(i)
+                    for r in np.unique(repeat).tolist():
+                        block_of[repeat == r] = permuted(i[repeat == r], size_of[k], hash((seed, k, r)) & (2**63 - 1))
+                    m = len(j)
+                    cols = [pa.array(np.full(m, shard), pa.int64()), pa.array(at_slot + np.arange(m), pa.int64()), pa.array([live[k]] * m, pa.string()), pa.array(repeat, pa.int64()), pa.array(block_of, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["shard", "slot", "source", "repeat", "block"])
+                    at_slot += m
+
+    # contiguous ranges of shards: a task walks down to its own range once
+    drawn = spark.range(-(-n // per) if n else 0).mapInArrow(draw, "shard long, slot long, source string, repeat long, block long")
     pieces = at.select("source", "key", "n", "start", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("n") - 1) / block))).alias("block"))
     lo = F.greatest(F.col("start"), F.col("block") * block)
     hi = F.least(F.col("start") + F.col("n"), (F.col("block") + 1) * block)

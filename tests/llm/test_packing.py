@@ -1,9 +1,10 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from strataloom.llm.mixing import mix_sources
+from strataloom.llm.mixing import mix_sources, permuted, shard_counts
 from strataloom.llm.packing import best_fit, fill_containers
 from strataloom.llm.tokens import encoding, token_counts
 
@@ -85,3 +86,28 @@ def test_tokens(spark):
     df = spark.createDataFrame([(1, "hello world", "x"), (2, "", "x"), (3, None, "x"), (4, "a b " * 50000, "x")], "doc_id long, text string, n_tokens string")
     got = {r.key: r.n_tokens for r in token_counts(df, "doc_id", "text").collect()}
     assert got[1] == 2 and got[2] == 0 and got[3] is None and got[4] == len(encoding().encode_ordinary("a b " * 50000))
+
+
+@pytest.mark.parametrize("m", [1, 2, 3, 64, 1000, 4097])
+def test_permutations(m):
+    for key in (1, 2):
+        assert sorted(permuted(np.arange(m), m, key).tolist()) == list(range(m))
+    if m >= 1000:  # no arithmetic progression
+        assert len(set(np.diff(permuted(np.arange(m), m, 3)).tolist())) > m // 3
+
+
+@pytest.mark.parametrize("slots", [[10, 0, 3], [4096], [5000, 70, 1], [10**12, 3 * 10**11, 17]])
+def test_counts_of_shards(slots):
+    slots = np.array(slots, np.int64)
+    shards = -(-int(slots.sum()) // 64)
+    every = list(shard_counts(slots, 64, 0, min(shards, 200), 3))
+    at = np.zeros_like(slots)
+    for k, (shard, before, own) in enumerate(every):
+        assert shard == k and (before == at).all() and (own >= 0).all()
+        assert own.sum() == min(64, slots.sum() - 64 * k)
+        at = at + own
+    if shards <= 200:
+        assert (at == slots).all()
+    # a task in the middle finds the same counts
+    part = list(shard_counts(slots, 64, 3, 5, 3))
+    assert [(s, b.tolist(), o.tolist()) for s, b, o in part] == [(s, b.tolist(), o.tolist()) for s, b, o in every[3:5]]
