@@ -29,7 +29,7 @@ _DEF = [_PY["def"], _PY["async"]]
 
 # Documentation that says nothing, matched against whole lines in lower case.
 _STAND_IN = re.compile(
-    r"(?:todo|fixme|xxx|tbd|tba|wip|nb|note|notes|warning)\b[\s:!.]*(?:$|.*)|n/?a|none|nothing|undocumented|self[- ]explanatory|no (?:description|docs?|documentation|comment)s?(?: (?:yet|available|provided|given))?"
+    r"(?:todo|fixme|xxx|tbd|tba|wip)\b[\s:!.]*(?:$|.*)|n/?a|none|nothing|undocumented|self[- ]explanatory|no (?:description|docs?|documentation|comment)s?(?: (?:yet|available|provided|given))?"
     r"|(?:missing|pending|insert|add|write|needs?) (?:a |the |some )?(?:docs?|documentation|description|docstring|comment|summary|me)(?: (?:here|later|yet))?|(?:documentation|description|docs?|summary) (?:missing|pending|here|goes here|to follow|to be (?:added|written|done))"
     r"|see (?:above|below|there|base class|parent|code|name|title)|same as above|as above|(?:auto[- ]?(?:generated )?)?stub\b.*|auto-?generated .*stub.*|generated by .*|placeholder\b.*|summary|description|documentation"
     r"|noch ohne beschreibung|ohne beschreibung|keine (?:beschreibung|dokumentation)|siehe oben|sin (?:documentar|descripción|documentación)|por documentar|pendiente|ver arriba"
@@ -46,10 +46,15 @@ _TAG = re.compile(r"(?:\{@\w+[^}]*\}|[@\\:](?:param(?:eter)?|arg(?:ument)?|type|
 _SECTION = re.compile(r"(?:args|arguments|param(?:eter)?s?|returns?|yields?|raises|throws|examples?|notes?|see also|attributes|inputs?|outputs?)\s*:?\s*", re.I)
 _PARAM = re.compile(r"[*`]{0,2}\w+[*`]{0,2}\s*(?:\([^)]*\))?\s*[:\-–]\s*")
 _CODE_LINE = re.compile(r"(?:(?:[\w.\[\]\"'*&]+|(?:let|var|const|int|auto|final)\s[\w\s]+)\s*[-+*/|&]?:?=\s*[^=\s].*|(?:return|await|yield|throw|raise|print|import|from|#include)\b.*[;()\"'].*|(?:if|for|while|switch)\s*\(.*|[\w.$]+\(.*\)\s*;?\s*\{?|[{}()\[\];]+|.*[;{]|</?\w+.*>)")
+_MARKER = re.compile(r"(?:nb|notes?|warning|caution|attention|important)\b[\s:!.\-–]*", re.I)
 # Words that say nothing by themselves.
 _EMPTY = set("a an the this that these those of to for from in on at by with and or is are be been it its as do does did can will would should function method class procedure routine helper utility description documentation doc docs documented constructor init initialize initializes inits implementation stub auto code here der die das ein eine von für und zu el la los las un una de del para y".split())
 
 
+# Ranges of scripts that put no blanks between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+")
+
+
 def clean_lines(text: str) -> list[str]:
     """The lines of a comment or docstring without its marks."""
     t = text.strip()
@@ -65,7 +70,10 @@ def clean_lines(text: str) -> list[str]:
 
 
 def _words(text: str) -> list[str]:
+    """Words in lower case; scripts without blanks give their characters in twos."""
     text = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", text)
+    if not text.isascii():
+        text = _UNSPACED.sub(lambda m: " " + " ".join(m[0][i : i + 2] for i in range(0, len(m[0]), 2)) + " ", text)
     return [w.lower() for w in re.findall(r"[^\W\d_]+", text)]
 
 
@@ -89,6 +97,8 @@ def says_something(text: str | None, name: str | None) -> bool:
     own = _words(name or "")
     said: list[str] = []
     for line in clean_lines(text or ""):
+        m = _MARKER.match(line)
+        line = line[m.end() :] if m and (m.end() == len(line) or m[0].rstrip()[-1:] in ":!-–.") else line
         low = line.lower().strip(" \t.!?:;,()*_`\"'…")
         if not re.search(r"[^\W\d_]", line) or _DIRECTIVE.fullmatch(line.lower()) or _STAND_IN.fullmatch(low) or _STOCK.fullmatch(low) or _CODE_LINE.fullmatch(line):
             continue
@@ -189,26 +199,54 @@ def _says(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator
         yield pd.Series([says_something(x, n) or says_something(y, n) for x, y, n in zip(a, b, names, strict=True)], dtype=bool)
 
 
-def documented_callables(files: DataFrame, sources: DataFrame, callables: DataFrame) -> DataFrame:
-    """(unit_id, name, source, signature, description, says) of every callable of a current file.
+def documented_functions(texts: DataFrame) -> DataFrame:
+    """(id, line, end_line, name, text, docstring): every delimited function of texts (id, language, source).
 
-    files: repo, path, hash (current rows); sources: hash, source; callables: unit_id, repo,
-    path, name, start_line, source, signature. The documentation is the comment that ends on
-    the line directly above start_line and, in Python, the docstring; ``says`` is whether one
-    of them tells something. Callables of unknown languages, without a stored text or with
-    null places have no documentation. Exact repeats count once; each text is lexed once,
-    however many files have it.
+    text is the comment island that ends on the line directly above, docstring that of Python; of functions that
+    begin on one line the one that ends last holds.
     """
+    comments, functions = token_documents(texts)
+    last = F.max(F.struct("end_line", "name", "docstring")).alias("f")
+    f = functions.groupBy("id", "line").agg(last).select("id", "line", "f.end_line", "f.name", "f.docstring")
+    return f.join(comments.select("id", "line", "text"), ["id", "line"], "left").select("id", "line", "end_line", "name", "text", "docstring")
+
+
+def _texts(files: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files with the id of their text in its language, texts: id, language, source), each text once for a language."""
     at = files.select("repo", "path", "hash", extension_language(F.col("path")).alias("language")).where(F.col("language").isin(LANGUAGES))
     at = at.withColumn("id", F.concat_ws(":", "hash", "language"))
     need = at.select("id", "hash", "language").distinct()
-    texts = need.join(sources.select(F.col("hash").alias("of"), "source"), F.col("hash") == F.col("of")).select("id", "language", "source")
-    comments, functions = token_documents(texts)
-    docs = comments.select("id", "line", "text", F.lit(None).cast("string").alias("docstring"))
-    docs = docs.unionByName(functions.where("docstring IS NOT NULL").select("id", "line", F.lit(None).cast("string").alias("text"), "docstring"))
-    docs = docs.groupBy("id", "line").agg(F.first("text", True).alias("text"), F.first("docstring", True).alias("docstring"))
-    c = callables.select("unit_id", "repo", "path", "name", "start_line", "source", "signature").distinct()
+    return at, need.join(sources.select(F.col("hash").alias("of"), "source"), F.col("hash") == F.col("of")).select("id", "language", "source")
+
+
+def documented_callables(files: DataFrame, sources: DataFrame, callables: DataFrame) -> DataFrame:
+    """(unit_id, repo, path, id, start_line, end_line, name, signature, description, says) of every callable of a current file.
+
+    files: repo, path, hash (current rows); sources: hash, source; callables: unit_id, repo,
+    path, name, start_line, signature. A callable is looked for among the functions that the
+    windows over its text's tokens delimit, by the line on which it begins; end_line and, where
+    the table has none, name are those of the function found. ``says`` is whether its
+    documentation tells something. Callables of unknown languages, without a stored text, or
+    that their text does not show have no end and no documentation. Exact repeats count once;
+    each text is lexed once, however many files have it.
+    """
+    at, texts = _texts(files, sources)
+    f = documented_functions(texts).withColumnRenamed("name", "own")
+    c = callables.select("unit_id", "repo", "path", "name", "start_line", "signature").distinct()
     c = c.join(at.select("repo", "path", "id"), ["repo", "path"], "left")
-    c = c.join(docs, (c.id == docs.id) & (c.start_line == docs.line), "left").drop(docs.id)
+    c = c.join(f, (c.id == f.id) & (c.start_line == f.line), "left").drop(f.id)
+    c = c.withColumn("name", F.coalesce("name", "own"))
     out = c.withColumn("says", _says("text", "docstring", "name"))
-    return out.select("unit_id", "repo", "path", "start_line", "name", "source", "signature", F.coalesce(F.concat_ws("\n", "text", "docstring")).alias("description"), "says")
+    return out.select("unit_id", "repo", "path", "id", "start_line", "end_line", "name", "signature", F.concat_ws("\n", "text", "docstring").alias("description"), "says")
+
+
+def pairs(files: DataFrame, sources: DataFrame, callables: DataFrame) -> DataFrame:
+    """(unit_id, source, signature, description) of the callables whose documentation says something.
+
+    source is the text from the function's first to its last line with plain line feeds, cut from the stored text.
+    """
+    told = documented_callables(files, sources, callables).where("says")
+    text = sources.select(F.col("hash").alias("of"), F.split(F.regexp_replace("source", r"\r\n?", "\n"), "\n", -1).alias("rows"))
+    at = told.withColumn("of", F.substring_index("id", ":", 1)).join(text, "of")
+    source = F.array_join(F.slice("rows", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
+    return at.select("unit_id", source.alias("source"), "signature", "description")

@@ -4,23 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm.documented import documented_callables
+from strataloom.llm.documented import documented_callables, pairs
 from strataloom.sources import current_files, load
 
 
-def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = current_files(load(spark, sf_dir, "files"), ["hash"])
-    return documented_callables(files, load(spark, sf_dir, "sources"), load(spark, sf_dir, "callables"))
+def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return current_files(load(spark, sf_dir, "files"), ["hash"]), load(spark, sf_dir, "sources"), load(spark, sf_dir, "callables")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Callables whose documentation tells something about them."""
-    return _all(spark, sf_dir).where("says").select("unit_id").distinct()
+    return documented_callables(*_tables(spark, sf_dir)).where("says").select("unit_id").distinct()
 
 
 def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source, signature and description of those callables."""
-    return _all(spark, sf_dir).where("says").select("unit_id", "source", "signature", "description")
+    return pairs(*_tables(spark, sf_dir))
 
 
 QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs}

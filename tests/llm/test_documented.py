@@ -66,3 +66,19 @@ def test_pairs(spark):
     fn = {(r.id, r.name): (r.line, r.end_line) for r in token_documents(texts)[1].collect()}
     assert fn == {("a.py", "walk"): (4, 8), ("a.py", "bare"): (11, 12), ("b.js", "keep"): (4, 8), ("b.js", "far"): (12, 13), ("c.go", "Block"): (4, 6), ("d.rs", "split"): (2, 4)}
     assert documented_callables(f.limit(0), s.limit(0), cs.limit(0)).count() == 0
+
+
+def test_markers_and_scripts():
+    assert says_something("Note: callers must hold the lock", "run") and says_something("WARNING - drops pending rows", "run")
+    assert not says_something("Note:", "run") and not says_something("NB!", "run") and not says_something("TODO: shorten.", "run")
+    assert says_something("二つの値を足して返す", "run") and not says_something("Notes", "run")
+
+
+def test_source_is_cut_from_the_text(spark):
+    from strataloom.llm.documented import pairs
+
+    f = spark.createDataFrame([("r", "b.js", "h")], "repo string, path string, hash string")
+    s = spark.createDataFrame([("h", FILES["b.js"].replace("\n", "\r\n"))], "hash string, source string")
+    c = spark.createDataFrame([(3, "r", "b.js", None, 4, "stale", None)], "unit_id long, repo string, path string, name string, start_line int, source string, signature string")
+    got = pairs(f, s, c).collect()
+    assert [(r.unit_id, r.source) for r in got] == [(3, "export function keep(a) {\n  a.forEach((x) => {\n    x.y();\n  });\n}")]
