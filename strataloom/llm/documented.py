@@ -245,8 +245,12 @@ def pairs(files: DataFrame, sources: DataFrame, callables: DataFrame) -> DataFra
 
     source is the text from the function's first to its last line with plain line feeds, cut from the stored text.
     """
-    told = documented_callables(files, sources, callables).where("says")
+    return delimited_sources(documented_callables(files, sources, callables).where("says"), sources).select("unit_id", "source", "signature", "description")
+
+
+def delimited_sources(found: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows of ``documented_callables`` with ``source``, cut from the stored text by the lines of the function found."""
     text = sources.select(F.col("hash").alias("of"), F.split(F.regexp_replace("source", r"\r\n?", "\n"), "\n", -1).alias("rows"))
-    at = told.withColumn("of", F.substring_index("id", ":", 1)).join(text, "of")
+    at = found.where("end_line IS NOT NULL").withColumn("of", F.substring_index("id", ":", 1)).join(text, "of")
     source = F.array_join(F.slice("rows", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
-    return at.select("unit_id", source.alias("source"), "signature", "description")
+    return at.select(*found.columns, source.alias("source"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strataloom.llm.documented import documented_callables, pairs
+from strataloom.llm.documented import delimited_sources, documented_callables, pairs
 from strataloom.sources import current_files, load
 
 
@@ -22,5 +23,12 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(*_tables(spark, sf_dir))
 
 
-QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs}
-ORACLES: dict[str, str] = {}
+def p4_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every callable as the windows over tokens delimit it, documented or not."""
+    files, sources, callables = _tables(spark, sf_dir)
+    at = delimited_sources(documented_callables(files, sources, callables), sources)
+    return at.select("unit_id", F.sha2("source", 256).alias("source_hash")).distinct()
+
+
+QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p4_sources": p4_sources}
+ORACLES = {"p4_sources": "SELECT DISTINCT unit_id, sha256(source) AS source_hash FROM callables"}

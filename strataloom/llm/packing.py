@@ -19,7 +19,8 @@ from pyspark.sql.window import Window
 
 from strataloom.runtime import cut
 
-MAX_CAPACITY = 1 << 16  # bounds the driver's table of sizes and the broadcast placements
+MAX_CAPACITY = 1 << 22  # bounds the driver's table of sizes (two numbers each)
+_FEW_PLACES = 1 << 18  # placements up to which they are broadcast (some 10 MB), else joined
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -47,7 +48,7 @@ def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int
             if full:
                 out.append((size, rank, full * each, first, each))
                 rank, left = rank + full * each, left - full * each
-                if gap - full * 0 - each * size:
+                if gap - each * size:
                     insort(gaps, (gap - each * size, first, full))
                 first, n = first + full, n - full
             if n and left and left < each:
@@ -60,18 +61,18 @@ def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int
     return out, made
 
 
-def ranked(df: DataFrame, by: str, order: str, parts: int | None = None) -> DataFrame:
+def ranked(df: DataFrame, by: str, order: list[str], parts: int = 1024) -> DataFrame:
     """``df`` (written once) with ``rank``: 0, 1, ... among the rows of the same ``by``.
 
-    Rows are ranked within (``by``, spread) by hash and offset by the counts of the smaller
-    spreads, so no value of ``by`` meets in one task.
+    Rows are ranked within (``by``, spread) by hash of the first of ``order`` and offset by the counts of
+    the smaller spreads, so no value of ``by`` meets in one task. Ranks depend on the rows alone,
+    but for rows that are alike in all of ``order``, which are told apart arbitrarily.
     """
-    parts = parts or max(16, 4 * df.sparkSession.sparkContext.defaultParallelism)
-    df = cut(df.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(parts)).cast("int")))
+    df = cut(df.withColumn("_part", F.pmod(F.xxhash64(order[0]), F.lit(parts)).cast("int")))
     n = df.groupBy(by, "_part").count()
     before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     n = n.select(F.col(by).alias("_by"), F.col("_part").alias("_p"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
-    local = F.row_number().over(Window.partitionBy(by, "_part").orderBy(order)) - 1
+    local = F.row_number().over(Window.partitionBy(by, "_part").orderBy(*order)) - 1
     at = df.withColumn("_local", local).join(n, (F.col(by) == F.col("_by")) & (F.col("_part") == F.col("_p")))
     return at.withColumn("rank", F.col("_first") + F.col("_local")).drop("_part", "_p", "_by", "_first", "_local")
 
@@ -87,24 +88,24 @@ def fill_containers(items: DataFrame, key: str, size: str, capacity: int) -> Dat
     """
     if not 0 < capacity <= MAX_CAPACITY:
         raise ValueError(f"capacity must be from 1 to {MAX_CAPACITY}")
-    whole = items.select(F.col(key).alias("key"), F.col(size).cast("long").alias("n"), F.monotonically_increasing_id().alias("row"))
-    whole = cut(whole)
+    whole = cut(items.select(F.col(key).alias("key"), F.col(size).cast("long").alias("n")))
     none = whole.where("n IS NULL OR n <= 0").select("key", F.lit(0).alias("piece"), F.coalesce("n", F.lit(0)).alias("n_tokens"), F.lit(0).cast("long").alias("offset"), F.lit(None).cast("long").alias("container"))
     some = whole.where("n > 0")
     cap = F.lit(capacity)
     fulls = F.floor(F.col("n") / cap)
-    rest = some.where(F.col("n") % cap > 0).select("key", "row", fulls.cast("int").alias("piece"), (F.col("n") % cap).alias("size"), (fulls * cap).alias("offset"))
-    full = some.where(F.col("n") >= cap).select("key", "row", F.explode(F.sequence(F.lit(0), (fulls - 1).cast("int"))).alias("piece"))
+    rest = some.where(F.col("n") % cap > 0).select("key", fulls.cast("int").alias("piece"), (F.col("n") % cap).alias("size"), (fulls * cap).alias("offset"))
+    full = some.where(F.col("n") >= cap).select("key", F.explode(F.sequence(F.lit(0), (fulls - 1).cast("int"))).alias("piece"))
     # full pieces need no place to be found; their containers are numbered after the others
-    rest = ranked(rest, "size", "row")
+    full = ranked(full.withColumn("one", F.lit(1)), "one", ["key", "piece"])
+    rest = ranked(rest, "size", ["key", "piece", "offset"])
     counts = {r["size"]: r["count"] for r in rest.groupBy("size").count().collect()}  # at most ``capacity`` rows
     plan, made = best_fit(counts, capacity)
     schema = "of long, first_rank long, ranks long, first_container long, each long"
     # a size splits few gaps: the table is bounded by the capacity, whatever the number of items
     places = items.sparkSession.createDataFrame(plan, schema)
-    few = len(plan) <= 4 * MAX_CAPACITY
+    few = len(plan) <= _FEW_PLACES
     at = rest.join(F.broadcast(places) if few else places, (F.col("size") == F.col("of")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("ranks")))
     container = F.col("first_container") + F.floor((F.col("rank") - F.col("first_rank")) / F.col("each"))
     placed = at.select("key", "piece", F.col("size").alias("n_tokens"), "offset", container.alias("container"))
-    own = full.select("key", "piece", cap.cast("long").alias("n_tokens"), (F.col("piece") * cap).cast("long").alias("offset"), (F.lit(made) + F.monotonically_increasing_id()).alias("container"))
+    own = full.select("key", "piece", cap.cast("long").alias("n_tokens"), (F.col("piece") * cap).cast("long").alias("offset"), (F.lit(made) + F.col("rank")).alias("container"))
     return placed.unionByName(own).unionByName(none)

@@ -66,7 +66,28 @@ _PHRASES = [
     r"\bfill in before\b", r"\btext to be supplied\b", r"^(?:\w+ ?\w*: )?\W*(?:replace|delete|edit) this (?:line|text|section)\b", r"^(?:\w+ ?\w*: )?\((?:write|what|describe|explain|enter|add|escriba|beschreiben|describa|was )[^)]*\)$",
     r"\btexto de relleno\b", r"\bhier steht später\b", r"\bplatzhaltertext\b", r"\bcambiar antes de publicar\b", r"^blindtext\b",
 ]
-_RESIDUE = re.compile("|".join(f"(?:{p})" for p in _PHRASES))
+_FIRST = re.compile("|".join(f"(?:{p[1:]})" for p in _PHRASES if p[0] == "^"))
+_ANYWHERE = re.compile("|".join(f"(?:{p})" for p in _PHRASES if p[0] != "^"))
+
+
+def _literal(pattern: str) -> list[str]:
+    """Texts of which one stands in whatever a phrase matches: its longest plain run, else the words of phrases whose parts all vary."""
+    plain = pattern
+    while (less := re.sub(r"\([^()]*\)\??", "\0", plain)) != plain:
+        plain = less
+    plain = re.sub(r"\\[bwWdDsS][*+?]?|\[[^\]]*\][*+?]?|\.[*+?]?|[^\\]\?", "\0", plain)
+    runs = [r for r in re.findall(r"[^\W\d_][^\W\d_ ]*(?: [^\W\d_]+)*", plain.replace("\\", "\0")) if len(r) > 3]
+    return [max(runs, key=len)] if runs else ["script", "skript", "js", "cookies", "change the setting", "switch it on"]
+
+
+_LITERALS = sorted({x for p in _PHRASES if p[0] != "^" for x in _literal(p)})
+
+
+def _phrase(s: str) -> bool:
+    """Whether a segment in lower case holds a phrase of residue; most are told by plain texts alone."""
+    return _FIRST.match(s) is not None or (any(x in s for x in _LITERALS) and _ANYWHERE.search(s) is not None)
+
+
 # Signs that a segment speaks about residue.
 _ABOUT = re.compile(
     r"c0de|\b(?:removed?s?|removing|replaces?|replaced|instead of|came from|comes from|answers? with|returns?|returned|responds?|prints?|logs?|notice that|message|"
@@ -115,7 +136,7 @@ def weak_label(segment: str) -> bool | None:
     words = re.findall(r"[^\W\d_]+", s)
     filler = len(words) >= 2 and sum(w in _FILLER for w in words) > 0.6 * len(words)
     strong = "pl4ce" in s or filler
-    if strong or _RESIDUE.search(s):
+    if strong or _phrase(s):
         about = _ABOUT.search(s)
         return True if strong or not about else (False if "c0de" in s or len(words) > 12 else None)
     return False
@@ -182,7 +203,9 @@ class Features:
         every = np.arange(len(segments), dtype=np.uint64)
         names = [mix(word, np.uint64(1)), mix(before, word), mix(word[last], edge), *(mix(o, np.uint64(3)) for o in own)]
         of = [row, row, row[last], *([every] * len(own))]
-        both = np.unique(np.concatenate([r << np.uint64(BITS) | n >> np.uint64(64 - BITS) for r, n in zip(of, names, strict=True)]))
+        both = np.concatenate([r << np.uint64(BITS) | n >> np.uint64(64 - BITS) for r, n in zip(of, names, strict=True)])
+        both.sort()
+        both = both[np.append(True, both[1:] != both[:-1])[: len(both)]]
         r = (both >> np.uint64(BITS)).astype(np.int64)
         return (both & np.uint64((1 << BITS) - 1)).astype(np.int64), np.cumsum(np.bincount(r, minlength=len(segments)))
 

@@ -20,9 +20,19 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("unit_id", "heading_path", "start_line", "end_line", "content", "piece", "pieces", F.octet_length("content").alias("n_bytes"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_pieces": p7_pieces}
+def p7_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections put together again from their pieces without what these repeat, and whether all pieces keep the limits."""
+    m = load(spark, sf_dir, "markdown_chunks").groupBy("unit_id").agg(F.min(F.struct("content", "start_line", "end_line")).alias("c")).select("unit_id", "c.*")
+    out = split_oversized(m).withColumn("own", F.expr("substring(content, overlap_chars + 1)"))
+    lines = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + F.when(F.col("content").endswith("\n") | (F.length("content") == 0), 0).otherwise(1)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "own"))), lambda x: x.own), "")
+    return out.groupBy("unit_id").agg(F.sha2(text, 256).alias("whole"), F.bool_and((F.octet_length("content") <= 8192) & (lines <= 120)).alias("fits"))
+
+
+QUERIES = {"p7_rebuilt": p7_rebuilt, "p7_found": p7_found, "p7_pieces": p7_pieces}
 
 ORACLES = {
+    "p7_rebuilt": "SELECT unit_id, sha256(min(content)) AS whole, true AS fits FROM markdown_chunks GROUP BY 1",
     "p7_found": """SELECT DISTINCT unit_id FROM markdown_chunks WHERE strlen(content) > 8192
  OR length(content) - length(replace(content, chr(10), '')) + CASE WHEN content = '' OR content LIKE '%' || chr(10) THEN 0 ELSE 1 END > 120"""
 }

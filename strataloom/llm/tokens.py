@@ -6,6 +6,7 @@ import base64
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +30,12 @@ def encoding(path: str = TOKENIZER):
 
 def token_counts(docs: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER, also: tuple[str, ...] = ()) -> DataFrame:
     """(key, n_tokens, *also) of every row; a null text has null tokens, an empty one none. Texts are counted whole."""
+    docs.sparkSession.sparkContext.addFile(tokenizer)  # to every executor; there it lies under its name
     kind = docs.schema[key].dataType.simpleString()
     extra = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in also)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoding(tokenizer)
+        e = encoding(SparkFiles.get(tokenizer.rsplit("/", 1)[-1]))
         for b in batches:
             n = [None if t is None else len(e.encode_ordinary(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *b.columns[2:]], names=["key", "n_tokens", *also])
