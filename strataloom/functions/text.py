@@ -107,3 +107,68 @@ def location(path: Column, start: Column, end: Column, name: Column) -> Column:
     """path:line:name or path:start-end:name."""
     lines = F.when(start == end, start.cast("string")).otherwise(F.concat_ws("-", start, end))
     return F.concat_ws(":", path, lines, name)
+
+
+def common_parent(paths: Column) -> Column:
+    """The deepest folder that holds all paths of an array; '' is the root."""
+    low, high = F.split(F.array_min(paths), "/"), F.split(F.array_max(paths), "/")
+    n = F.least(F.size(low), F.size(high)) - 1
+    # the smallest and the largest path part where any two do
+    part = F.coalesce(F.array_position(F.transform(F.sequence(F.lit(1), n), lambda i: F.get(low, i - 1) != F.get(high, i - 1)), True), F.lit(0))
+    return F.when(n <= 0, "").otherwise(F.array_join(F.slice(low, 1, F.when(part == 0, n).otherwise(part - 1).cast("int")), "/"))
+
+
+def percent_encoded(path: Column) -> Column:
+    """A path as it stands in a link: UTF-8 bytes other than letters, digits and ``-._~/`` become %XX."""
+    return F.replace(F.replace(F.replace(F.replace(F.url_encode(path), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def percent_decoded(link: Column) -> Column:
+    """The inverse; a plus sign stays one. A broken escape leaves the link as it is."""
+    return F.coalesce(F.try_url_decode(F.replace(link, F.lit("+"), F.lit("%2B"))), link)
+
+
+def truncate_bytes(text: Column, limit: int) -> Column:
+    """The longest prefix of at most ``limit`` UTF-8 bytes that splits no character."""
+    raw = F.encode(text, "UTF-8")
+    # a continuation byte (10xxxxxx) after the cut means that a character would be split
+    after = lambda n: F.conv(F.hex(F.substring(raw, limit + 1 - n, 1)), 16, 10).cast("int")
+    back = F.lit(3)
+    for n in (2, 1, 0):
+        back = F.when(F.shiftright(after(n), 6) != 2, n).otherwise(back)
+    return F.when(F.octet_length(text) <= limit, text).otherwise(F.decode(F.substring(raw, F.lit(1), F.lit(limit) - back), "UTF-8"))
+
+
+def comment_prose(comment: Column) -> Column:
+    """What a comment says: without its marks, the stars of its lines, and blank edges."""
+    s = F.regexp_replace(comment, r"\r\n?", "\n")
+    s = F.regexp_replace(s, r"(?m)^[ \t]*(?:/\*+!?|//[/!]?|\*+/|\*(?!/)|#+!?|<!--|\"{3}|'{3})[ \t]?", "")
+    s = F.regexp_replace(s, r"(?m)[ \t]*(?:\*+/|-->|\"{3}|'{3})[ \t]*$", "")
+    return F.regexp_replace(F.regexp_replace(s, r"(?m)[ \t]+$", ""), r"\A\s+|\s+\z", "")
+
+
+def decoded_key(key: Column) -> Column:
+    """A key of a configuration file as text: quotes go, and in double quotes escapes are resolved."""
+    double = F.get_json_object(F.concat(F.lit('{"k":'), key, F.lit("}")), "$.k")
+    single = F.replace(F.substring(key, F.lit(2), F.length(key) - 2), F.lit("''"), F.lit("'"))
+    return F.when(key.rlike(r'^".*"$'), F.coalesce(double, key)).when(key.rlike(r"^'.*'$"), single).otherwise(key)
+
+
+def normal_path(path: Column) -> Column:
+    """Forward slashes, no empty or ``.`` components, no slash at the ends; ``..`` takes one component back, null above the root."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: (p != "") & (p != "."))
+    step = lambda s, p: F.when(p != "..", F.concat(s, F.array(p))).when(F.size(s) > 0, F.slice(s, 1, F.size(s) - 1))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+
+def closest(word: Column, known: list[str], limit: int = 3) -> Column:
+    """The known word with the least edit distance up to ``limit``, ties to the first by name; null if none."""
+    each = F.array(*[F.struct(F.levenshtein(F.lower(word), F.lit(k)).alias("far"), F.lit(k).alias("k")) for k in known])
+    best = F.array_min(each)
+    return F.when(best.far <= limit, best.k)
+
+
+def unfenced_json(text: Column) -> Column:
+    """The inside of a fenced json block that is the whole text, else the text itself, trimmed."""
+    inside = F.regexp_extract(text, r"(?s)\A\s*```(?:json)?\s*\n(.*?)\n?\s*```\s*\z", 1)
+    return F.when(inside != "", F.trim(inside)).otherwise(F.regexp_replace(text, r"\A\s+|\s+\z", ""))

@@ -39,3 +39,21 @@ def folder_rollup(files: DataFrame, keys: list[str], path: str, value: str) -> D
     prefixes = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     out = one.select(*keys, F.explode(prefixes).alias("folder"), value)
     return out.groupBy(*keys, "folder").agg(F.sum(value).alias(value), F.count("*").alias("n_files"))
+
+
+def tree_top(files: DataFrame, keys: list[str], path: str, value: str, limit: int) -> DataFrame:
+    """(keys, entry, folder, value, chosen): the ``limit`` largest files and folders together, and the folders above them.
+
+    Ties go by key and path. Folders above a chosen entry come without being chosen; all totals are those of
+    the whole tree. The root counts for no entry.
+    """
+    one = files.groupBy(*keys, path).agg(F.max(value).alias(value))
+    folders = folder_rollup(one, keys, path, value).where("folder <> ''").select(*keys, F.col("folder").alias("entry"), F.lit(True).alias("folder"), F.col(value).cast("long").alias(value))
+    every = folders.unionByName(one.select(*keys, F.col(path).alias("entry"), F.lit(False).alias("folder"), F.col(value).cast("long").alias(value)))
+    top = every.orderBy(F.desc(value), *keys, "entry").limit(limit)
+    parts = F.split("entry", "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    up = top.where(F.size(parts) > 1).select(*keys, F.explode(above).alias("entry")).distinct()
+    up = up.join(top.where("folder").select(*keys, "entry"), [*keys, "entry"], "left_anti")
+    rest = folders.join(F.broadcast(up), [*keys, "entry"], "left_semi")  # at most the limit times the depth
+    return top.withColumn("chosen", F.lit(True)).unionByName(rest.withColumn("chosen", F.lit(False)))

@@ -38,53 +38,95 @@ def reconcile_ids(old: DataFrame, identities: DataFrame, identity: str, id_col:
 
 
 def table_digest(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(n_rows, digest): a digest of the rows that does not depend on their order; repeats count.
+    """(n_rows, digest): a digest of the rows in canonical order; repeats count, nulls differ from all texts.
 
-    Row hashes are summed in two 64-bit halves with wrap-around kept apart by decimals.
+    Rows are hashed, the hashes sorted within 65,536 ranges by their first four digits, and the digests
+    of the ranges hashed in order, so no task holds more than a range.
     """
-    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    half = lambda at: F.sum(F.conv(F.substring(row, at, 12), 16, 10).cast("decimal(20,0)"))
-    return df.agg(F.count("*").alias("n_rows"), F.sha2(F.concat_ws(":", half(1), half(13)), 256).alias("digest"))
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns]
+    rows = df.select(F.sha2(F.concat_ws("\x1f", *text), 256).alias("h"))
+    part = rows.groupBy(F.substring("h", 1, 4).alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: F.concat(x.b, x.d)), "")
+    return part.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.sha2(whole, 256).alias("digest"))
 
 
 class SnapshotStore:
-    """Tables under ``root``: each version a folder, the current one named by a pointer file."""
+    """Tables under ``root``: every version is a folder, every generation a file that names the versions.
+
+    A generation's file is created only if it is not there yet, which is atomic on shared file systems, so
+    of two writers of one generation the second fails, and readers always find the largest whole one.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._jvm = spark.sparkContext._jvm
-        self._fs = self._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
+
+    def _generations(self) -> list[int]:
+        folder = self._path("generations")
+        if not self._fs.exists(folder):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
+        return sorted(int(n[4:-5]) for n in names if n.startswith("gen-") and n.endswith(".json"))
 
     def current(self) -> dict:
-        p = self._path("current.json")
-        if not self._fs.exists(p):
-            return {"generation": 0, "tables": {}}
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/current.json").collect()))
+        """{generation, tables: name -> version, notes}; generation 0 where nothing is published."""
+        found = self._generations()
+        if not found:
+            return {"generation": 0, "tables": {}, "notes": {}}
+        stream = self._fs.open(self._path(f"generations/gen-{found[-1]:09d}.json"))
+        try:
+            raw = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(raw)
+
+    def has(self, table: str) -> bool:
+        return table in self.current()["tables"]
 
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{self.current()['tables'][table]}")
 
-    def publish(self, tables: dict[str, DataFrame], expected: int | None = None) -> int:
-        """Write the tables as the next generation and point to it; others keep their version.
+    def publish(self, tables: dict[str, DataFrame], expected: int | None = None, notes: dict | None = None) -> int:
+        """Write the tables as the next generation; others keep their version.
 
-        ``expected`` refuses the change if another generation has been published meanwhile.
+        ``expected`` refuses the change if another generation has been published before or meanwhile.
+        Tables that lose the race are deleted again.
         """
         now = self.current()
         if expected is not None and now["generation"] != expected:
             raise RuntimeError(f"generation is {now['generation']}, not {expected}")
         made = dict(now["tables"])
+        written = []
         for name, df in tables.items():
             made[name] = f"{name}/v{now['generation'] + 1}-{uuid.uuid4().hex[:8]}"
             df.write.parquet(f"{self.root}/{made[name]}")
-        if self.current()["generation"] != now["generation"]:
-            raise RuntimeError("another generation was published meanwhile")
-        new = {"generation": now["generation"] + 1, "tables": made}
-        out = self._fs.create(self._path("current.tmp"), True)
+            written.append(made[name])
+        new = {"generation": now["generation"] + 1, "tables": made, "notes": {**now.get("notes", {}), **(notes or {})}}
+        try:
+            out = self._fs.create(self._path(f"generations/gen-{new['generation']:09d}.json"), False)
+        except Exception as e:
+            for name in written:
+                self._fs.delete(self._path(name), True)
+            raise RuntimeError("another generation was published meanwhile") from e
         out.write(bytearray(json.dumps(new).encode()))
         out.close()
-        self._fs.delete(self._path("current.json"), False)
-        self._fs.rename(self._path("current.tmp"), self._path("current.json"))
         return new["generation"]
+
+    def prune(self, keep: int = 1) -> list[str]:
+        """Delete the versions that none of the newest ``keep`` generations names; returns their names."""
+        found = self._generations()[-keep:]
+        live: set[str] = set()
+        for n in found:
+            live |= set(json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/generations/gen-{n:09d}.json").collect()))["tables"].values())
+        gone = []
+        for table in {v.split("/")[0] for v in live}:
+            for f in self._fs.listStatus(self._path(table)):
+                name = f"{table}/{f.getPath().getName()}"
+                if name not in live:
+                    self._fs.delete(f.getPath(), True)
+                    gone.append(name)
+        return sorted(gone)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataloom.plans import hierarchies, repository, vectors
+from strataloom.plans import extraction, hierarchies, maps, repository, search, vectors
 
-_MODULES = [hierarchies, repository, vectors]
+_MODULES = [hierarchies, repository, extraction, maps, search, vectors]
 
 
 def queries() -> dict:

@@ -261,7 +261,7 @@ def a17_freshness(spark, d):
 
 
 def a19_digest(spark, d):
-    """A digest of the current files that does not depend on their order."""
+    """A digest of the current files in canonical order."""
     return snapshots.table_digest(_current(spark, d, "hash", "language"), ["repo", "path", "hash", "language"])
 
 
@@ -278,6 +278,8 @@ _CALLS = r"""c AS (SELECT DISTINCT unit_id, repo, name, source FROM callables),
  e AS (SELECT DISTINCT unit_id AS src, dst FROM (SELECT unit_id, repo, unnest(list_distinct(regexp_extract_all(source, '([A-Za-z_][A-Za-z0-9_]*)\(', 1))) AS name FROM c) s JOIN one USING (repo, name))"""
 
 ORACLES = {
+    "a19_digest": f"""WITH {_CUR}, r AS (SELECT sha256(concat_ws(chr(31), repo, path, coalesce(hash, chr(0)), coalesce(language, chr(0)))) AS h FROM cur), b AS (SELECT substr(h, 1, 4) AS b, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS d FROM r GROUP BY 1)
+ SELECT CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(b || d, '' ORDER BY b)) AS digest FROM b""",
     "s8_current_files": f"WITH {_CUR} SELECT repo, path, hash, language, format_group, source_mode, parser_version FROM cur",
     "s10_current_structures": f"WITH {_CUR} SELECT parser_version, language, count(*) AS n_files FROM cur WHERE structure_hash IS NOT NULL GROUP BY 1, 2",
     "s11_contents": f"WITH {_CUR} SELECT repo, path, CAST(strlen(source) AS INTEGER) AS n_bytes, sha256(source) = s.hash AS agrees FROM cur LEFT JOIN sources s ON cur.hash = s.hash",

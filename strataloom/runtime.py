@@ -15,9 +15,11 @@ _local: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset."""
+    """The cluster's ``spark.checkpoint.dir``. Where it is unset, a temporary folder, but only in local mode: executors of a cluster would not share it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         folder = _local.setdefault(app, tempfile.mkdtemp(prefix="strataloom-"))
     return folder.rstrip("/")

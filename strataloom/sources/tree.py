@@ -12,6 +12,19 @@ EXCLUDED = ["**", "!**/.git/**", "!**/node_modules/**", "!**/*.lock", "!**/packa
 MAX_BYTES = 1 << 20
 
 
+def _relative(root: str):
+    path = F.regexp_replace(F.regexp_extract("path", r"^(?:[a-z0-9]+:)?(/.*)$", 1), "^/+", "/")
+    base = "/" + root.split(":", 1)[-1].strip("/") + "/"
+    return path.substr(F.lit(len(base) + 1), F.length("path"))
+
+
+def fingerprints(spark: SparkSession, root: str, repo: str, rules: list[str] | None = None) -> DataFrame:
+    """(repo, path, fingerprint) of the files that ``read_tree`` would read, by size and modification time; nothing is opened."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root.rstrip("/"))
+    rows = rows.select(_relative(root.rstrip("/")).alias("path"), F.concat_ws("-", "length", F.unix_micros("modificationTime")).alias("fingerprint"))
+    return rows.where(format_group(F.col("path")).isNotNull() & ordered_globs(F.col("path"), rules or EXCLUDED)).select(F.lit(repo).alias("repo"), "path", "fingerprint")
+
+
 def read_tree(spark: SparkSession, root: str, repo: str, rules: list[str] | None = None, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
     """(files, diagnostics) of a tree on any file system that Spark reads.
 
@@ -21,9 +34,7 @@ def read_tree(spark: SparkSession, root: str, repo: str, rules: list[str] | None
     """
     root = root.rstrip("/")
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace(F.regexp_extract("path", r"^(?:[a-z0-9]+:)?(/.*)$", 1), "^/+", "/")
-    base = "/" + root.split(":", 1)[-1].lstrip("/") + "/"
-    rows = rows.select(path.substr(F.lit(len(base) + 1), F.length("path")).alias("path"), F.col("length").alias("n_bytes"), "content")
+    rows = rows.select(_relative(root).alias("path"), F.col("length").alias("n_bytes"), "content")
     rows = rows.where(format_group(F.col("path")).isNotNull() & ordered_globs(F.col("path"), rules or EXCLUDED))
     small, text = F.col("n_bytes") <= max_bytes, F.is_valid_utf8(F.col("content").cast("string"))
     good = small & F.coalesce(text, F.lit(False))
