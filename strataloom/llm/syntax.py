@@ -2,7 +2,7 @@
 
 Texts are lexed into rows of tokens, each with its role in the grammar of the language. A
 text is invalid if two adjacent tokens form no permissible pair (an anti-join against the
-pairs derived from the language's role sets), if its brackets and block words do not nest
+pairs that the productions of ``grammar`` allow), if its brackets and block words do not nest
 (windows by text and depth), or if a statement lacks what its production needs (windowed
 reductions over statements). For Python and JSON, whose parsers are at hand, an exact parse
 of the texts found this way follows and clears those that are valid after all.
@@ -16,7 +16,6 @@ import re
 import warnings
 from collections.abc import Iterator
 from functools import lru_cache, reduce
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strataloom.llm.grammar import GRAMMARS
+from strataloom.llm.grammar import pairs as grammar_pairs
 from strataloom.llm.lex import _LEXERS, CLASSES, CODE, KEYWORD0, KEYWORDS, extension_language, lex
 from strataloom.runtime import cut, drop
 
@@ -48,12 +49,6 @@ _CONTEXT = {lang: set(words.split()) for lang, words in CONTEXT.items()}
 _OPENERS = {"(": 1, "[": 2, "{": 3, "if": 4, "do": 5, "case": 6}
 _CLOSERS = {")": -1, "]": -2, "}": -3, "fi": -4, "done": -5, "esac": -6}
 
-_VALUE_WORDS = {
-    "javascript": "this super null true false", "typescript": "this super null true false void", "java": "this super null true false", "go": "", "c": "",
-    "rust": "self Self super crate true false", "python": "None True False", "json": "true false null",
-}
-
-
 def _yaml(text: str) -> tuple[list[str], list[int]]:
     """One role per line that is not blank, a comment or within a block scalar, flow collection or quotes."""
     roles, at = [], []
@@ -317,254 +312,8 @@ def _within(x: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _pairs() -> list[tuple[str, int, int, bool]]:
-    """All permissible (language, role, next role, on a new line)."""
-    out: list[tuple[str, int, int, bool]] = []
-    broken = {"MARK", "CHAR", "OPEN", "BADINDENT", "BADLINE"}
-
-    def add(lang: str, roles: set[str], forbidden) -> None:
-        for a, b in product(roles, roles):
-            if a in broken or b in broken or a == "EOF" or (b == "BOF" and lang != "yaml"):
-                continue
-            for nl in (False, True):
-                if not forbidden(a, b, nl):
-                    out.append((lang, ROLE[a], ROLE[b], nl))
-
-    base = set(CLASSES) - {"COMMENT", "TAG"}
-    names = {"IDENT", "DNAME", "PNAME", "CNAME", "FNAME", "TNAME", "SNAME", "CTX"}
-    for lang in ("javascript", "typescript", "java", "go", "rust", "c"):
-        kw = set(KEYWORDS[lang].split())
-        values = set(_VALUE_WORDS[lang].split())
-        roles = (base - {"NEWLINE", "INDENT", "DEDENT"}) | names | kw
-        js = lang in ("javascript", "typescript")
-        ends = names | values | {"NUM", "STR", ")", "]", "INC"}
-        hard = {"NUM", "STR"}
-        operators = {"BIN", "="} | ({"AMB"} if js else set())
-        closers = {")", "]", "}"}
-        decl = {"class", "function", "const", "var", "import", "enum", "package", "func", "type", "struct", "fn", "let", "mod", "use", "trait", "impl", "interface", "static", "extends", "implements", "throws", "union", "typedef", "new", "goto", "export", "pub", "map", "chan"} & kw
-        control = {"if", "while", "switch", "for", "catch"} & kw
-        paren = control if lang in ("javascript", "typescript", "java", "c") else set()
-        illegal = {"java": {"=>", "CHAR", "#", "const", "goto"}, "go": {"=>", "->", "::", "#", "@", "?", "CHAR"}, "c": {"=>", "::", "@", "LIFE"}, "javascript": {"->", "::", "LIFE"}, "typescript": {"->", "::", "LIFE"}, "rust": {"INC"}}[lang] - {"CHAR"}
-        if lang == "java":
-            illegal -= {"#"}
-            illegal |= {"#"}
-
-        def bad(a, b, nl, lang=lang, kw=kw, js=js, ends=ends, hard=hard, operators=operators, closers=closers, decl=decl, paren=paren, illegal=illegal, values=values):
-            if a in illegal or b in illegal:
-                return True
-            fresh = js and nl
-            # two operands with nothing between
-            if a in ends and b in names | hard | values:
-                if a in hard and b in names | hard | values:
-                    if lang == "c" and ((a == "STR" and b in ("STR", "SNAME"))):
-                        return False
-                    return not fresh
-                if b in hard:
-                    if a == ")":
-                        return lang in ("go", "rust")
-                    if a == "]":
-                        return not fresh
-                    if a == "CTX" and js:
-                        return False
-                    if lang == "go" and b == "STR" and a in names:
-                        return False
-                    if lang == "c" and b == "STR" and a == "SNAME":
-                        return False
-                    return not fresh
-                if js:
-                    if a == ")" or a == "CTX" or b == "CTX" or fresh:
-                        return a in hard and not fresh
-                    return True
-                if lang == "rust":
-                    return not (a in ("]", "CTX") or b == "CTX" or a == "INC") and True
-                if a == "INC" or (a in values and b not in values):
-                    return True
-                if lang == "c":
-                    return a == "DNAME" and b == "DNAME" and False
-                return False
-            if a in operators | {".", "PRE", "::"} and b in closers | {",", ";", "BIN", "EOF", "=>"} | ({"="} if a != "BIN" else set()):
-                if lang == "c" and a == "BIN" and b in closers | {","}:
-                    return False  # operators as macro arguments
-                if lang == "rust" and a in ("BIN", "=", "PRE") and b in ("BIN", "=>", "=", ")", ","):
-                    return not (a == "BIN" and b in ("BIN", "=", "=>", ")", ",") or (a == "PRE" and b in (")", ",", ";", "=>", "=", "}")) or a == "=")
-                if lang == "rust" and a == "PRE" and b in ("}", ";"):
-                    return False
-                if lang == "java" and a == "BIN" and b in ("=", ")", ","):
-                    return b != "="  # generics that close with >>
-                if lang == "typescript" and a in ("BIN", "PRE") and b in closers | {",", ";", "=", "=>", "BIN"}:
-                    return False  # generics that close with >>, assertions with !
-                if js and a == "AMB" and b in ("=", "BIN"):
-                    return True
-                if js and a == "AMB" and b == ";":
-                    return False  # export *
-                return True
-            if a == "." and b in hard | {"(", "[", "{", ":", "?", "AMB", "."}:
-                return not ((js and b in ("[", "(")) or (lang == "go" and b == "(") or (lang == "java" and b == "AMB") or (lang == "rust" and b == "NUM") or (lang == "c" and b == "."))
-            if a in ("(", "[") and b in {"BIN", ",", ".", "=", "EOF", ":"} | ({"?"} if lang != "java" else set()):
-                return not ((a == "[" and b == "," and js) or (lang == "rust" and b == "BIN") or (lang == "c" and a == "(" and b in ("BIN", ",", "=")) or (a == "[" and b == "." and lang == "c") or (lang == "go" and a == "[" and b == ":") or (lang == "go" and a == "(" and b == "BIN"))
-            if a == "(" and b in ("]", "}") or a == "[" and b in (")", "}") or a == "{" and b in (")", "]"):
-                return True
-            if a == "," and b in {";", "=", "EOF", ":", "?"} | ({"BIN", "."} if lang != "rust" else {"."}) | ({","} if not js else set()) | ({")"} if lang in ("java",) else set()):
-                return not (b == "." and lang == "c") and not (lang == "java" and b == "?") and not (lang == "c" and b == "BIN") and not (lang == "go" and b == "BIN")
-            if a == ";" and b in {",", "=", "BIN", ".", "?", ":", "=>", "->"}:
-                return not (lang == "rust" and b == "BIN") and not (lang == "go" and b == "BIN")
-            if a == "BOF" and b in closers | {"BIN", ",", ".", "=", ":", "?", "=>", "->", ">", "<"}:
-                return True
-            if a == "BOF" and (lang == "go" and b not in ("package", ";", "EOF") or lang == "java" and b in names - {"CTX"} | {"(", "[", "{"} or b in hard and not js):
-                return True
-            if b == "EOF":
-                if a in {"{", "(", "[", ",", ".", ":", "?", "=>", "->", "::", "<", "AMB", "PRE", "@", "#", ".."}:
-                    return True
-                if a in kw and a not in values:
-                    return not (js and a in ("return", "break", "continue", "debugger"))
-                if not js and lang != "go":
-                    return a not in ("}", ";", "BOF", "MARK") and not (lang == "rust" and a == "]")
-                return a in ("CNAME", "FNAME") or (js and a == "CTX")
-            # reserved words
-            if a in paren and b != "(":
-                return not ((a == "catch" and b == "{" and js) or (a == "for" and b == "CTX" and js))
-            if a in decl and a not in ("import", "const", "static", "type", "new", "struct", "map", "chan", "enum", "export", "interface", "union") and b in closers | {";", ",", "BIN", ".", ":", "NUM", "STR", "=", "?"}:
-                return not ((lang == "c" and b in (";", ",", ")")) or (lang == "rust" and a in ("impl", "fn") and b == "BIN") or (lang == "rust" and a == "use" and b == "::") or (a == "class" and b == "=" and False))
-            if a in ("return", "throw", "case") and b in closers - {"}"} | {",", "BIN", ".", ":", "?", "="}:
-                return not (lang == "rust" and b in ("BIN", ",", ")")) and not (lang == "go" and b == "BIN")
-            if a == "else" and b in closers | {";", ",", "BIN", "=", ".", ":"}:
-                return not (b == ";" and lang != "go")
-            if a in {"else", "try", "finally", "do"} & kw and lang in ("go", "rust", "java") and a in ("else", "try", "finally"):
-                if lang in ("go", "rust") and a == "else":
-                    return b not in ("{", "if")
-                if a == "finally":
-                    return b != "{"
-            if a in names | {"NUM", "STR", "]"} and b in kw - values and b not in {"in", "instanceof", "extends", "implements", "throws", "as", "of", "default", "else", "for", "where", "if", "dyn", "mut", "ref", "super", "assert"}:
-                if js:
-                    return not (fresh or a == "CTX" or b in ("function", "class") and a == "CTX") and b not in ("while", "from")
-                if lang == "go":
-                    return b in ("func", "package", "import", "return", "if", "const", "var", "switch", "go", "defer") and not (b == "func" and a in names)
-                if lang == "java":
-                    return b in ("return", "import", "package", "if", "while", "switch", "const") and a != "CTX"
-                if lang == "c":
-                    return b in ("return", "if", "while", "switch", "break", "continue", "case", "goto") and False
-                if lang == "rust":
-                    return b in ("fn", "let", "pub", "use", "struct", "enum", "impl", "mod", "return", "while", "loop", "const", "static", "trait") and a != "CTX" and a != "]"
-            if a in ("FNAME",) and b not in ("(", "<", "[") and lang in ("javascript", "go", "rust", "typescript"):
-                return True
-            if a == "CNAME":
-                if lang == "javascript":
-                    return b not in ("=", ",", ";", "CTX", "in", "IDENT", ")", "}") and not nl
-                if lang == "rust":
-                    return b not in (":", "=", ";", "<")
-                if lang == "go":
-                    return b in (";", "(", "{", ")")
-            if a == "TNAME" and lang == "go" and b in (";", ")", "}", ","):
-                return True
-            if a == "TNAME" and lang == "java":
-                return b not in ("{", "<", "extends", "implements", "CTX")
-            if a == "PNAME" and lang == "javascript" and b == ":":
-                return True
-            if lang == "c" and a == "DNAME" and b in (".", "{", "->", "BIN", "NUM", "?", ":"):
-                return b != ":" and not (b == "BIN")
-            if lang in ("javascript", "typescript") and (a == "#" or b == "#"):
-                return True
-            if lang in ("javascript",) and (a == "@" or b == "@"):
-                return False
-            return False
-
-        add(lang, roles, bad)
-
-    # Python; an exact parse follows, so that these sets may be narrow
-    kw = set(KEYWORDS["python"].split())
-    values = set(_VALUE_WORDS["python"].split())
-    ends = names | values | {"NUM", "STR", ")", "]", "}", ".."}
-    starts = names | values | {"NUM", "STR", "(", "[", "{", "PRE"}
-    infix = {"and", "or", "not", "in", "is", "if", "else", "for", "as", "from", "import", "async", "lambda", "await", "yield"}
-
-    def bad_python(a, b, nl):
-        if a in ends and b in starts - {"(", "[", "{"} or (a in ends and b == "{"):
-            return not (a == "STR" and b == "STR") and not (a == "CTX")
-        if a in ("BIN", "AMB", "PRE", "=", ".", "lambda", "and", "or", "not", "is", "in", "def", "class", "import", "from", "as", "del", "global", "nonlocal", "with", "while", "if", "elif", "for", "assert") and b in {"NEWLINE", "EOF", ")", "]", "}", ",", ";", "INDENT"}:
-            return not (a in ("AMB", "BIN") and b in (",", ")"))
-        if a in {"(", "[", "{", ","} and b in {"EOF", "NEWLINE"} and a != ",":
-            return True
-        if a in {"(", "[", "{"} and b in {"BIN", ",", "=", "."}:
-            return not (b == "BIN")
-        if a == "," and b in {",", "=", ":", "."}:
-            return True
-        if b == "INDENT" and a != "NEWLINE":
-            return True
-        if a in {"def", "class"} and b not in {"IDENT", "CTX", "FNAME", "TNAME"}:
-            return True
-        if a == "FNAME" and b not in ("(", "["):
-            return True
-        if a == "TNAME" and b not in ("(", ":", "["):
-            return True
-        if a in {"else", "try", "finally"} and b != ":" and a != "else":
-            return True
-        if a in ends and b in kw - values - infix:
-            return True
-        if b in ("->",) and a != ")":
-            return True
-        if a == "::" or b == "::" or a in ("?", "INC", "=>", "#") or b in ("?", "INC", "=>", "#"):
-            return True
-        if a in ("NEWLINE", "INDENT", "DEDENT", "BOF") and b in (")", "]", "}", "BIN", ",", ".", "=", ":", "->", "<", ">"):
-            return True
-        return False
-
-    add("python", (base | names | kw), bad_python)
-
-    def json_ok(a, b):
-        value = {"STR", "NUM", "true", "false", "null"}
-        open_ = {"[", "{"}
-        after = {
-            "BOF": value | open_, "{": {"STR", "}"}, "[": value | open_ | {"]"}, ":": value | open_, ",": value | open_,
-            "}": {",", "}", "]", "EOF"}, "]": {",", "}", "]", "EOF"}, "NUM": {",", "}", "]", "EOF"}, "STR": {",", "}", "]", ":", "EOF"},
-        }
-        for v in ("true", "false", "null"):
-            after[v] = {",", "}", "]", "EOF"}
-        return b in after.get(a, set())
-
-    add("json", {"BOF", "EOF", "STR", "NUM", "[", "]", "{", "}", ",", ":", "true", "false", "null"}, lambda a, b, nl: not json_ok(a, b))
-    add("yaml", {"BOF", "EOF", "KEY", "ITEM", "VALUE", "CONT"}, lambda a, b, nl: a == "VALUE" and b in ("KEY", "ITEM") or a in ("KEY", "ITEM") and b == "VALUE")
-
-    css = {"BOF", "EOF", "IDENT", "NUM", "STR", "(", ")", "[", "]", "{", "}", ",", ";", ":", ".", "=", "BIN", "AMB", "PRE", ">", "<", "::", "TAG"}
-
-    def bad_css(a, b, nl):
-        if b == "EOF":
-            return a not in ("}", ";", "BOF", "{")
-        if a in (",", ":", ".", "=", "::") and b in (";", "}", ")", "{", ",", "]"):
-            return not (a == ":" and b in (";", "}"))
-        if a in ("{", ";", "}", "BOF") and b in (",", "=", ")", "]", "BIN"):
-            return True
-        if a in ("(", "[") and b in (",", "=", ";", "{", "}"):
-            return True
-        return a == "<" and b != "NUM" and b != "=" and b != "IDENT"
-
-    add("css", css, bad_css)
-    sh = {"BOF", "EOF", "WORD", "STR", "NEWLINE", ";", "BIN", "(", ")", "{", "}", "=", "AMB", "PRE", "<", ">", "NUM"} | set(KEYWORDS["bash"].split())
-
-    def bad_bash(a, b, nl):
-        stop = {";", "BIN", ")", "NEWLINE"}
-        if a in ("then", "do", "else", "elif", "if", "while", "until", "{", "(") and b in {";", "BIN", ")", "EOF"} - ({")"} if a == "(" else set()):
-            return True
-        if a == ";" and b in (";", "BIN"):
-            return False
-        if a in ("BOF", "NEWLINE") and b in ("BIN", ";", ")", "then"):
-            return b in ("BIN", ";")
-        if a in ("for", "case", "function") and b not in ("WORD", "STR", "("):
-            return True
-        if b in ("then",) and a not in (";", "NEWLINE", "fi", "done", "esac", "}", ")"):
-            return True
-        if b in ("fi", "done", "esac", "else", "elif") and a not in (";", "NEWLINE", "fi", "done", "esac", "}", ")", "BIN", "then", "in"):
-            return True
-        if a in ("then", "do", "else") and b in ("fi", "done", "else", "elif", "then", "do"):
-            return True
-        if a in ("<", ">") and b in stop | {"EOF"}:
-            return True
-        if a == "BIN" and b == "EOF":
-            return True
-        if a == "(" and b not in (")",) and False:
-            return True
-        return a == "WORD" and b == "("  and False
-
-    add("bash", sh, bad_bash)
-    return out
+    """All permissible (language, role, next role, on a new line), computed from the productions of each grammar."""
+    return [(lang, ROLE[a], ROLE[b], nl) for lang, g in GRAMMARS.items() for a, b, nl in grammar_pairs(g)]
 
 
 #: What a statement needs: language, a word it holds outside of parentheses, the roles of which one must follow, and whether only the text's last statement is judged.
