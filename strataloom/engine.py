@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -135,3 +137,23 @@ class Engine:
         one = search.merged(search.unit_hits(asked, keyed, vectors, low), ["unit_id"], ["query_id"])
         top = search.limited(one, ["unit_id"], search.resolved_limit(limit))
         return top.join(u.select("unit_id", "repo", "path", "qualified_name", "start_line", "end_line"), "unit_id").orderBy("rank")
+
+    def cached_search(self, texts: list[str], limit: int | None | str = None, low: float = 0.3) -> DataFrame:
+        """As ``search`` without a selection, kept under the generation: the same question of the same generation is answered from its table."""
+        now = self.store.current()["generation"]
+        asked = hashlib.sha256(json.dumps([sorted(set(texts)), search.resolved_limit(limit), low, self.provider.profile]).encode()).hexdigest()[:32]
+        path = f"{self.store.root}/results/{now}/{asked}"
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+        if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            self.search(texts, limit, low).write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path).orderBy("rank")
+
+
+def unindexed(spark: SparkSession, tree: str, repo: str, rules: list[str] | None = None) -> dict[str, DataFrame]:
+    """Tables read and parsed from a tree without an index: files, declarations, imports, calls, spans, faults."""
+    files, _ = read_tree(spark, tree, repo, rules)
+    files = files.withColumn("language", extension_language(F.col("path")))
+    rows = extracted(files.select(F.concat_ws(":", "hash", "language").alias("key"), "language", "source").distinct(), "key")
+    at = files.select("repo", "path", "language", F.concat_ws(":", "hash", "language").alias("key"))
+    of = lambda *what: at.join(rows.where(F.col("what").isin(*what)), "key").drop("key")
+    return {"files": files, "declarations": of("declaration"), "imports": of("import"), "calls": of("call"), "spans": of("comment", "test"), "faults": of("fault")}

@@ -518,6 +518,43 @@ def calls(t: Tokens) -> list[tuple[int, str, str | None]]:
     return out
 
 
+def uses(t: Tokens, decls: list[Declaration], bound: list[Import]) -> list[tuple[int, int | None, str]]:
+    """(place, innermost declaration, name) of uses of what the text declares at its top or imports, other than calls and members.
+
+    A name that the enclosing callable takes as a parameter or assigns itself means that, and is no use.
+    """
+    known = {d.name for d in decls if d.parent is None} | {i.alias or (i.name if i.name not in (None, "*", "default") else i.path.rsplit("/", 1)[-1].rsplit(".", 1)[-1].rsplit("::", 1)[-1]) for i in bound}
+    spans = sorted((d.start, d.end, i) for i, d in enumerate(decls))
+    own: dict[int, set[str]] = {}
+    out: list[tuple[int, int | None, str]] = []
+    found: list[tuple[int, int | None, str]] = []
+    imported = 0  # up to here lies an import
+    for i in range(len(t)):
+        if i >= imported and t.name[i] in ("import", "from", "use", "package") and (i == 0 or t.name[i - 1] in ("NEWLINE", ";", "}", "INDENT", "DEDENT", "STR")):
+            imported = i + 1
+            while imported < len(t) and t.name[imported] not in ("NEWLINE", ";", "STR"):
+                imported = t.mate.get(imported, imported) + 1
+        if i < imported or t.name[i] != "IDENT" or t.word[i] not in known:
+            continue
+        before, after = t.name[i - 1] if i else "BOF", t.name[i + 1] if i + 1 < len(t) else "EOF"
+        place = t.start[i]
+        inside = [(e - s, k) for s, e, k in spans if s <= place < e]
+        owner = min(inside)[1] if inside else None
+        for _, k in inside:
+            if decls[k].kind in CALLABLE and (after == "=" or before in ("let", "var", "const", "for") or place < (decls[k].body or 0)):
+                own.setdefault(k, set()).add(t.word[i])
+        if before in (".", "::", "->") or after == "(" or before in ("import", "from", "use", "package", "def", "class", "func", "fn", "function", "const", "type", "struct", "let", "var", "as"):
+            continue
+        if owner is not None and decls[owner].name == t.word[i] and place < (decls[owner].body or decls[owner].end):
+            continue
+        found.append((place, owner, t.word[i]))
+    for place, owner, name in found:
+        around = [k for s, e, k in spans if s <= place < e]
+        if not any(name in own.get(k, ()) for k in around):
+            out.append((place, owner, name))
+    return out
+
+
 # Names of the functions that hold tests in scripts.
 _JS_TESTS = set("describe it test suite context before after beforeEach afterEach beforeAll afterAll".split())
 

@@ -23,6 +23,7 @@ class Parsed:
     declarations: list[Declaration] = field(default_factory=list)
     imports: list[Import] = field(default_factory=list)
     calls: list[tuple[int, int | None, str, str | None]] = field(default_factory=list)
+    uses: list[tuple[int, int | None, str]] = field(default_factory=list)
     chunks: list[markup.Chunk] = field(default_factory=list)
     comments: list[tuple[int, int]] = field(default_factory=list)
     tests: list[tuple[int, int]] = field(default_factory=list)
@@ -73,6 +74,7 @@ def parse(text: str, language: str | None) -> Parsed:
         out.imports, out.comments = code.imports(t), t.comments
         out.tests = code.test_spans(t, d)
         out.faults = sorted(t.faults)
+        out.uses = code.uses(t, d, out.imports)
         groups = _groups(text, t.comments)
         ends = np.array([b for _, b, _ in groups], np.int64)
         for x in d:

@@ -40,6 +40,8 @@ def _rows(key: str, language: str | None, text: str) -> Iterator[dict]:
         yield {"what": "import", "id": i + 1, "target": m.path, "name": m.name, "alias": m.alias, "wildcard": m.wildcard}
     for i, (place, owner, name, receiver) in enumerate(p.calls):
         yield {"what": "call", "id": i + 1, "parent_id": None if owner is None else owner + 1, "name": name, "target": receiver, **span(place, place + len(name))}
+    for i, (place, owner, name) in enumerate(p.uses):
+        yield {"what": "use", "id": i + 1, "parent_id": None if owner is None else owner + 1, "name": name, **span(place, place + len(name))}
     for i, c in enumerate(p.chunks):
         yield {"what": "chunk", "id": i + 1, "scope": c.path, "text": c.text, **span(c.start, c.end)}
     for what, ranges in (("comment", p.comments), ("test", p.tests)):
@@ -56,7 +58,8 @@ def extracted(texts: DataFrame, key: str = "hash", language: str = "language", s
 
     declaration (with kind, name, qualified_name, signature, description, attributes, scope; text is
     the source of callables), import (target, name, alias, wildcard), call (name, target is the
-    receiver, parent_id the innermost callable), chunk (scope is the heading path), comment and test
+    receiver, parent_id the innermost callable), use (a name that the text declares or imports; parent_id the
+    innermost declaration), chunk (scope is the heading path), comment and test
     (ranges), fault (text is the message), description (of the file). Null and empty texts and
     unknown languages have no rows; a text that breaks a guard has a fault instead of failing.
     """

@@ -100,6 +100,27 @@ def resolved_calls(decls: DataFrame, calls: DataFrame, imports: DataFrame) -> Da
     return n.where("n = 1").select("repo", F.col("path").alias("src_path"), "src_id", "dst_path", "dst_id").distinct()
 
 
+def resolved_references(decls: DataFrame, uses: DataFrame, imports: DataFrame) -> DataFrame:
+    """(repo, src_path, src_id, dst_path, dst_id): uses of names with exactly one declaration that they can mean.
+
+    decls, imports: as for ``resolved_calls``; uses: repo, path, parent_id (the innermost declaration, null at the
+    top), name. A name means the top declaration of its file, or what an import of its file binds it
+    to; where both or several are possible, there is no reference. A declaration does not refer to itself.
+    """
+    top = decls.where("parent_id IS NULL AND name IS NOT NULL").select(F.col("repo").alias("t_repo"), F.col("path").alias("dst_path"), F.col("id").alias("dst_id"), F.col("name").alias("t_name"))
+    u = uses.select("repo", "path", F.col("parent_id").alias("src_id"), "name").distinct()
+    here = u.join(top, (F.col("repo") == F.col("t_repo")) & (F.col("path") == F.col("dst_path")) & (F.col("name") == F.col("t_name")))
+    i = import_keys(imports).join(file_keys(decls.select("repo", "path", "language").distinct()).withColumnRenamed("path", "i_dst").drop("language"), ["repo", "key"])
+    i = i.where("name IS NOT NULL").select(F.col("repo").alias("i_repo"), F.col("path").alias("i_path"), "i_dst", F.col("name").alias("imported"), F.coalesce("alias", "name").alias("local")).distinct()
+    there = u.join(i, (F.col("repo") == F.col("i_repo")) & (F.col("path") == F.col("i_path")) & (F.col("name") == F.col("local")))
+    there = there.join(top, (F.col("repo") == F.col("t_repo")) & (F.col("i_dst") == F.col("dst_path")) & (F.col("imported") == F.col("t_name")))
+    columns = ["repo", "path", "src_id", "name", "dst_path", "dst_id"]
+    every = here.select(*columns).unionByName(there.select(*columns)).distinct()
+    n = every.groupBy("repo", "path", "src_id", "name").agg(F.count("*").alias("n"), F.first("dst_path").alias("dst_path"), F.first("dst_id").alias("dst_id")).where("n = 1")
+    out = n.where(~((F.col("path") == F.col("dst_path")) & F.col("src_id").eqNullSafe(F.col("dst_id"))))
+    return out.select("repo", F.col("path").alias("src_path"), "src_id", "dst_path", "dst_id").distinct()
+
+
 def import_cycles(edges: DataFrame, depth: int = 64) -> DataFrame:
     """(repo, path): files that import themselves by way of others; edges: repo, src_path, dst_path.
 

@@ -29,6 +29,21 @@ def line_totals(lines: DataFrame, keys: list[str], test: str) -> DataFrame:
     )
 
 
+def text_totals(texts: DataFrame, keys: list[str], source: str, test: str) -> DataFrame:
+    """As ``line_totals`` over ``line_rows``, but lines are counted within each text: no row a line is made."""
+    body = F.regexp_replace(F.regexp_replace(source, r"\r\n?", "\n"), r"\n\z", "")
+    t = texts.where(F.length(source) > 0).select(*keys, F.col(test).alias("_t"), F.split(body, "\n", -1).alias("_l"))
+    blank = lambda x: x.rlike(r"^\s*$")
+    t = t.select(*keys, "_t", F.size("_l").alias("n"), F.size(F.filter("_l", blank)).alias("b"), F.size(F.filter("_l", lambda x: x.rlike(_COMMENT) & ~blank(x))).alias("c"))
+    code = F.col("n") - F.col("b") - F.col("c")
+    total = lambda v: F.sum(v.cast("long"))
+    of_tests = lambda v: F.sum(F.when(F.col("_t"), v).otherwise(0).cast("long"))
+    return t.groupBy(*keys).agg(
+        total(F.col("n")).alias("lines"), total(F.col("b")).alias("blank"), total(F.col("c")).alias("comment"), total(code).alias("code"),
+        of_tests(F.col("n")).alias("test_lines"), of_tests(F.col("b")).alias("test_blank"), of_tests(F.col("c")).alias("test_comment"), of_tests(code).alias("test_code"),
+    )
+
+
 def folder_rollup(files: DataFrame, keys: list[str], path: str, value: str) -> DataFrame:
     """(keys, folder, value, n_files): every ancestor folder sums its files; '' is the root.
 

@@ -115,6 +115,18 @@ def j13_resolved(spark, d):
     return _graph(spark, d)
 
 
+def j14_references(spark, d):
+    """References of declarations to others, resolved by the file and its imports."""
+    rows = cut(_rows(spark, d))
+    decls = _of(spark, d, rows, "declaration", "id", "parent_id", "name")
+    return callgraph.resolved_references(decls, _of(spark, d, rows, "use", "parent_id", "name"), _of(spark, d, rows, "import", "target", "name", "alias", "wildcard"))
+
+
+def g8_uses(spark, d):
+    """Uses of what a text declares at its top or imports, by the innermost declaration around them."""
+    return _of(spark, d, _rows(spark, d), "use", "parent_id", "name", "start_line").select("repo", "path", F.col("parent_id").alias("owner"), "name", "start_line").distinct()
+
+
 def j15_imported(spark, d):
     """Files that an import may mean, of the same repository."""
     i = _of(spark, d, _rows(spark, d), "import", "target", "name", "alias", "wildcard")
@@ -146,8 +158,6 @@ def g5_prose(spark, d):
 
 QUERIES = {k: f for k, f in list(globals().items()) if callable(f) and k[0].islower() and k.split("_")[0][1:].isdigit()}
 
-_BYTES = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(description, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(?m)^[ \t]*(?:/\*+!?|//[/!]?|\*+/|#+!?|<!--|\"{3}|''{3})[ \t]?', '', 'g'), '(?m)^[ \t]*\*(?:[ \t]|$)', '', 'g'), '', ''), '(?m)[ \t]*(?:\*+/|-->|\"{3}|''{3})[ \t]*$', '', 'g'), '(?m)[ \t]+$', '', 'g')"
-
 ORACLES = {
     "g2_callables": "SELECT DISTINCT unit_id, true AS found, true AS same_signature FROM callables WHERE name IS NOT NULL",
     "g4_declarations": "SELECT DISTINCT repo, path, id, true AS found FROM symbols WHERE name IS NOT NULL AND kind IN ('class', 'impl', 'function', 'method', 'constructor')",

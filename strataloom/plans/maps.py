@@ -27,12 +27,6 @@ def _counted(spark, d) -> DataFrame:
     return _lines(spark, d).select("repo", "path", F.size(F.split(body, "\n", -1)).alias("lines"))
 
 
-def r3_closure(spark, d):
-    """Symbols that match a name pattern and their ancestors, by the hierarchy's paths."""
-    s = load(spark, d, "symbols")
-    return outline.closure(s, s.where(F.col("name").rlike("^(load|fetch)")), GROUP)
-
-
 def r7_private(spark, d):
     """Symbols that are private by themselves or below a private one other than an implementation."""
     first = F.substring("name", 1, 1)
@@ -130,6 +124,15 @@ def a2_range_lines(spark, d):
     return rows.join(covered, [*GROUP, "n"]).groupBy(*GROUP).agg(F.count("*").alias("lines"))
 
 
+def w4_groups(spark, d):
+    """Groups of comment lines that follow each other, by file."""
+    rows = lines.line_rows(_lines(spark, d), GROUP, "source").where("comment AND NOT blank")
+    order = Window.partitionBy(*GROUP).orderBy("n")
+    rows = rows.withColumn("island", F.col("n") - F.row_number().over(order))
+    g = rows.groupBy(*GROUP, "island").agg(F.count("*").alias("size"))
+    return g.groupBy(*GROUP).agg(F.count("*").alias("groups"), F.max("size").alias("longest"))
+
+
 def a3_unique(spark, d):
     """Lines of every path, of several rows of a file the most."""
     s = load(spark, d, "sources").select(F.col("hash").alias("of"), F.size(F.split("source", "\n", -1)).alias("lines"))
@@ -352,8 +355,6 @@ _CAND = f"""{_CUR}, {_OLD}, cand AS (SELECT repo, path FROM cur WHERE source_mod
  UNION SELECT repo, path FROM diagnostics SEMI JOIN cur USING (repo, path) WHERE code = 'read')"""
 
 ORACLES = {
-    "r3_closure": """WITH RECURSIVE s AS (SELECT DISTINCT repo, path, id, parent_id, name FROM symbols), r AS (SELECT repo, path, id FROM s WHERE regexp_matches(name, '^(load|fetch)')
- UNION SELECT p.repo, p.path, p.id FROM r JOIN s c ON c.repo = r.repo AND c.path = r.path AND c.id = r.id JOIN s p ON p.repo = c.repo AND p.path = c.path AND p.id = c.parent_id) SELECT DISTINCT repo, path, id FROM r""",
     "r7_private": f"""WITH RECURSIVE s AS (SELECT repo, path, id, min(parent_id) AS parent_id, max({_P}) AS p, max({_P} AND kind <> 'impl') AS o FROM symbols GROUP BY 1, 2, 3),
  r AS (SELECT repo, path, id, o AS up FROM s WHERE p UNION SELECT c.repo, c.path, c.id, r.up OR c.o FROM r JOIN s c ON c.repo = r.repo AND c.path = r.path AND c.parent_id = r.id WHERE r.up) SELECT DISTINCT repo, path, id FROM r""",
     "w7_hunks": """WITH s AS (SELECT DISTINCT repo, path, id, parent_id, start_line, end_line, heading_level, coalesce(regexp_matches(name, '[aeiou]r|[aeiou]n'), false) AS c FROM symbols),
@@ -379,6 +380,9 @@ ORACLES = {
     "a2_range_lines": rf"""WITH {_CUR}, l AS (SELECT repo, path, unnest(string_split({_BODY}, chr(10))) AS line, unnest(range(1, len(string_split({_BODY}, chr(10))) + 1)) AS n FROM cur JOIN sources s ON cur.hash = s.hash WHERE length(source) > 0),
  c AS (SELECT DISTINCT repo, path, unnest(range(start_line, {_ENDS} + 1)) AS n FROM callables)
  SELECT repo, path, count(*) AS lines FROM l JOIN c USING (repo, path, n) WHERE NOT regexp_matches(line, '^\s*$') AND NOT (regexp_matches(line, '^\s*(//|#|/\*|\*|<!--)') AND NOT regexp_matches(line, '^\s*#(include|define|if|endif|else|pragma|undef|line|!)')) GROUP BY 1, 2""",
+    "w4_groups": rf"""WITH {_CUR}, l AS (SELECT repo, path, unnest(string_split({_BODY}, chr(10))) AS line, unnest(range(1, len(string_split({_BODY}, chr(10))) + 1)) AS n FROM cur JOIN sources s ON cur.hash = s.hash WHERE length(source) > 0),
+ c AS (SELECT repo, path, n - row_number() OVER (PARTITION BY repo, path ORDER BY n) AS island FROM l WHERE regexp_matches(line, '^\s*(//|#|/\*|\*|<!--)') AND NOT regexp_matches(line, '^\s*#(include|define|if|endif|else|pragma|undef|line|!)')), g AS (SELECT repo, path, island, count(*) AS size FROM c GROUP BY 1, 2, 3)
+ SELECT repo, path, count(*) AS groups, max(size) AS longest FROM g GROUP BY 1, 2""",
     "a3_unique": "SELECT repo, path, CAST(max(len(string_split(source, chr(10)))) AS INTEGER) AS lines FROM files f JOIN sources s ON f.hash = s.hash GROUP BY 1, 2",
     "t9_tree": f"""WITH {_CUR}, {_COUNT}, f AS (SELECT repo, unnest(list_transform(range(0, len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS entry, lines FROM n),
  g AS (SELECT repo, entry, CAST(sum(lines) AS BIGINT) AS lines, true AS folder FROM f WHERE entry <> '' GROUP BY 1, 2 UNION ALL SELECT repo, path, lines, false FROM n), t AS (SELECT * FROM g ORDER BY lines DESC, repo, entry LIMIT 30)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strataloom.functions import text as X
-from strataloom.operators import calls, freshness, graph, intervals, lines, sections, snapshots
+from strataloom.operators import calls, freshness, graph, intervals, lines, outline, sections, snapshots
 from strataloom.sources import current_files, load
 
 ROOTS = ["src/**", "lib/**", "!**/*_pb2.py", "!**/{gen,generated}/**"]
@@ -92,9 +92,9 @@ def g16_tests(spark, d):
 
 def g3_inputs(spark, d):
     """Length of the text that a callable is embedded by."""
-    c = load(spark, d, "callables").select("unit_id", "language", "kind", "qualified_name", "signature", "description", "source").distinct()
     text = F.concat_ws("\n", "language", "kind", "qualified_name", "signature", F.nullif(F.trim("description"), F.lit("")), "source")
-    return c.select("unit_id", F.sha2(text, 256).alias("input_hash"))
+    # hashed before repeats are dropped, so no text is shuffled
+    return load(spark, d, "callables").select("unit_id", F.sha2(text, 256).alias("input_hash")).distinct()
 
 
 def j7_declarations(spark, d):
@@ -108,11 +108,14 @@ def j7_declarations(spark, d):
 
 
 def j9_headings(spark, d):
-    """For every Markdown section the last heading at or before its first line."""
-    m = load(spark, d, "markdown_chunks").select("unit_id", "repo", "path", "start_line").distinct().alias("m")
-    h = load(spark, d, "symbols").where("heading_level IS NOT NULL").select("repo", "path", "id", F.col("start_line").alias("at"), "name").distinct().alias("h")
-    both = m.join(h, (F.col("m.repo") == F.col("h.repo")) & (F.col("m.path") == F.col("h.path")) & (F.col("h.at") <= F.col("m.start_line")))
-    return both.groupBy("m.unit_id").agg(F.max(F.struct("h.at", "h.id", "h.name")).alias("b")).select("unit_id", F.col("b.id").alias("symbol_id"), F.col("b.name").alias("title"))
+    """For every Markdown section the last heading at or before its first line: one window over both, no join."""
+    none = F.lit(None)
+    m = load(spark, d, "markdown_chunks").select("repo", "path", F.col("start_line").alias("at"), "unit_id", none.cast("int").alias("id"), none.cast("string").alias("name")).distinct()
+    h = load(spark, d, "symbols").where("heading_level IS NOT NULL").select("repo", "path", F.col("start_line").alias("at"), none.cast("long").alias("unit_id"), "id", "name").distinct()
+    order = Window.partitionBy("repo", "path").orderBy("at", F.col("unit_id").isNotNull(), "id").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("unit_id").isNull(), F.struct("id", "name")), True).over(order)
+    both = h.unionByName(m).withColumn("b", last).where("unit_id IS NOT NULL AND b IS NOT NULL")
+    return both.select("unit_id", F.col("b.id").alias("symbol_id"), F.col("b.name").alias("title"))
 
 
 def j11_vocabulary(spark, d):
@@ -141,7 +144,7 @@ def r1_call_groups(spark, d):
 def r3_ancestors(spark, d):
     """Symbols that match a name pattern, and all their ancestors."""
     s = load(spark, d, "symbols")
-    return graph.with_ancestors(s, s.where(F.col("name").rlike("^(load|fetch)")), ["repo", "path"])
+    return outline.closure(s, s.where(F.col("name").rlike("^(load|fetch)")), ["repo", "path"])
 
 
 def _lines(spark, d) -> DataFrame:
@@ -152,8 +155,7 @@ def _lines(spark, d) -> DataFrame:
 
 def a1_line_totals(spark, d):
     """Eight line counts by language: blank, comment, code, and those of tests."""
-    rows = lines.line_rows(_lines(spark, d), ["language", "test"], "source")
-    return lines.line_totals(rows, ["language"], "test")
+    return lines.text_totals(_lines(spark, d), ["language"], "source", "test")
 
 
 def a4_folders(spark, d):
@@ -227,13 +229,6 @@ def a13_errors(spark, d):
     return e.join(_current(spark, d, "hash").select("repo", "path"), ["repo", "path"], "left_semi").groupBy("code").agg(F.count("*").alias("n"), F.count_distinct("repo").alias("n_repos"))
 
 
-def s12_references(spark, d):
-    """Files that Markdown texts name in code spans and that their repository has."""
-    t = _lines(spark, d).where("language = 'markdown'")
-    refs = t.select("repo", F.col("path").alias("article"), F.explode(F.array_distinct(F.regexp_extract_all("source", F.lit(r"`([\w./-]+\.[a-z]+)`"), F.lit(1)))).alias("path"))
-    return refs.join(_current(spark, d, "hash").select("repo", "path"), ["repo", "path"]).select("repo", "article", "path")
-
-
 def u4_reindexed(spark, d):
     """What changed in files that were indexed again: oldest against latest row."""
     f = load(spark, d, "files")
@@ -329,7 +324,6 @@ ORACLES = {
     "x14_labels": f"SELECT DISTINCT unit_id, concat_ws(':', path, CASE WHEN start_line = {_ENDS} THEN CAST(start_line AS VARCHAR) ELSE start_line || '-' || {_ENDS} END, name) AS label FROM callables",
     "a12_status": f"WITH {_CUR} SELECT language, count(*) AS n_files, count(description) AS described, count_if(source_mode = 'working-tree') AS uncommitted, count_if(structure_hash IS NULL) AS unparsed FROM cur GROUP BY 1",
     "a13_errors": f"WITH {_CUR} SELECT code, count(*) AS n, count(DISTINCT repo) AS n_repos FROM (SELECT DISTINCT repo, path, ordinal, code, message FROM diagnostics) SEMI JOIN cur USING (repo, path) GROUP BY 1",
-    "s12_references": rf"""WITH {_CUR}, r AS (SELECT repo, path AS article, unnest(list_distinct(regexp_extract_all(source, '`([\w./-]+\.[a-z]+)`', 1))) AS path FROM cur JOIN sources s ON cur.hash = s.hash WHERE language = 'markdown') SELECT r.repo, article, r.path FROM r JOIN cur USING (repo, path)""",
     "u4_reindexed": f"""WITH {_CUR}, o AS (SELECT repo, path, arg_min(hash, (indexed_at, hash)) AS hash FROM files GROUP BY 1, 2 HAVING count(DISTINCT indexed_at) > 1) SELECT repo, path, 'edited' AS change FROM o JOIN cur USING (repo, path) WHERE o.hash IS DISTINCT FROM cur.hash""",
     "k2_reconciled": """WITH c AS (SELECT DISTINCT unit_id, concat_ws('|', repo, path, qualified_name, start_line, kind) AS identity FROM callables), o AS (SELECT identity, min(unit_id) AS unit_id FROM c WHERE unit_id % 2 = 0 GROUP BY 1),
  n AS (SELECT DISTINCT identity FROM c ANTI JOIN o USING (identity)) SELECT identity, unit_id FROM o UNION ALL SELECT identity, (SELECT max(unit_id) FROM o) + row_number() OVER (ORDER BY substr(sha256(identity), 1, 2), identity) AS unit_id FROM n""",

@@ -230,6 +230,32 @@ def f19_changed(spark, d):
     return rest.join(base, ["qualified_name", "source_hash"], "left_anti").select("unit_id").distinct()
 
 
+def j2_delta(spark, d):
+    """Nearest documents of every stored query over a base of one half of the keys and a delta of the other."""
+    v = _vectors(spark, d)
+    asked = v.where("role = 'query'").select(F.col("key").alias("query_id"), "vector")
+    docs = v.where("role = 'document'").select(F.col("key").alias("id"), "vector")
+    late = F.substring("id", 1, 1).isin("8", "9", "a", "b", "c", "d", "e", "f")
+    out = knn.with_delta(asked, docs.where(~late), docs.where(late), docs.where(F.substring("id", 1, 2) == "00").select("id"), 5)
+    return out.withColumn("score", F.round("score", 6))
+
+
+def u1_union(spark, d):
+    """Hits of all channels as one list: units, files and symbols, by score and then by kind and place."""
+    u = search.merged(_hits(spark, d), ["unit_id"], ["query_id"]).join(_callables(spark, d, "repo", "path"), "unit_id")
+    rows = u.select(F.lit("unit").alias("type"), "repo", "path", F.col("unit_id").alias("id"), "score")
+    rows = rows.unionByName(j20_files(spark, d).withColumn("type", F.lit("file")), allowMissingColumns=True)
+    rows = rows.unionByName(j11_symbols(spark, d).withColumn("type", F.lit("symbol")), allowMissingColumns=True)
+    return search.limited(rows, ["type", "repo", "path", "id"], 500).select("type", "repo", "path", "id", "score", "rank", "omitted")
+
+
+def a18_locations(spark, d):
+    """Every normalised name with the places where it stands, in order."""
+    s = load(spark, d, "symbols").where("name IS NOT NULL").select(X.symbol_words(F.col("name")).alias("words"), "repo", "path", "start_line").distinct()
+    # gathered by repository, so a name that is everywhere is no single cell
+    return s.groupBy("words", "repo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "start_line"))), lambda x: F.concat_ws(":", x.path, x.start_line)), ",").alias("places"))
+
+
 QUERIES = {k: f for k, f in list(globals().items()) if callable(f) and k[0].islower() and k.split("_")[0][1:].isdigit()}
 
 _V = f"""v AS (SELECT embedding_key AS key, min(role) AS role, min(CAST(vector AS DOUBLE[])) AS vector FROM vectors WHERE profile_key = '{PROFILE}' AND len(vector) = 64
@@ -274,6 +300,13 @@ _CROSS = f"""{_V}, {_C}, {_EXCL}, k AS (SELECT unit_id, min(key) AS key FROM u W
 _BIG = "big AS (SELECT repo FROM c GROUP BY 1 ORDER BY count(*) DESC, repo LIMIT 1)"
 
 ORACLES = {
+    "j2_delta": f"""WITH {_V}, t AS (SELECT q.key AS query_id, v.key AS id, list_cosine_similarity(q.vector, v.vector) AS score FROM v q JOIN v ON q.role = 'query' AND v.role = 'document' WHERE NOT (v.key LIKE '00%'))
+ SELECT query_id, id, round(score, 6) AS score FROM t QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5""",
+    "u1_union": f"""WITH {_HITS}, {_CUR}, {_NAMES}, a AS (WITH {_near('SELECT DISTINCT description AS id, description AS text FROM cur WHERE description IS NOT NULL', 0.3)} SELECT * FROM near), b AS (WITH {_near(_VOCAB, 0.3)} SELECT * FROM near),
+ r AS (SELECT 'unit' AS type, repo, path, CAST(unit_id AS BIGINT) AS id, score FROM m JOIN (SELECT DISTINCT unit_id, repo, path FROM callables) USING (unit_id)
+ UNION ALL SELECT 'file', repo, path, NULL, round(score, 6) FROM cur JOIN a ON a.id = description UNION ALL SELECT 'symbol', repo, path, n.id, round(max(score), 6) FROM (SELECT repo, path, id, unnest(spellings) AS w FROM n) n JOIN b ON b.id = w GROUP BY repo, path, n.id)
+ SELECT type, repo, path, id, score, CAST(row_number() OVER (ORDER BY score DESC, type, repo, path, id NULLS FIRST) AS INTEGER) AS rank, count(*) OVER () > 500 AS omitted FROM r QUALIFY rank <= 500""",
+    "a18_locations": f"SELECT words, repo, string_agg(path || ':' || start_line, ',' ORDER BY path, start_line) AS places FROM (SELECT DISTINCT {_words('name')} AS words, repo, path, start_line FROM symbols WHERE name IS NOT NULL) GROUP BY 1, 2",
     "j1_search": f"WITH {_HITS} SELECT query_id, unit_id, channel, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS INTEGER) AS rank, count(*) OVER (PARTITION BY query_id) > 20 AS omitted FROM h QUALIFY rank <= 20",
     "a7_search": f"WITH {_HITS} SELECT query_id, unit_id, channel, score, CAST(row_number() OVER (ORDER BY score DESC, unit_id) AS INTEGER) AS rank, count(*) OVER () > 200 AS omitted FROM m QUALIFY rank <= 200",
     "a20_by_file": f"WITH {_HITS}, {_C} SELECT repo, path, max(score) AS best, count(*) AS n_hits FROM m JOIN (SELECT DISTINCT unit_id, repo, path FROM c) USING (unit_id) GROUP BY 1, 2",

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strataloom.operators import graph, knn
 from strataloom.runtime import shared_folder
@@ -68,8 +67,9 @@ def j12_fanout(spark, d):
 
 
 def j18_unreachable(spark, d):
-    """Stored vectors that no unit refers to."""
-    return load(spark, d, "vectors").select("embedding_key", "profile_key", "role").distinct().join(load(spark, d, "unit_vectors"), "embedding_key", "left_anti")
+    """Stored vectors that neither code nor documents of any unit refer to."""
+    live = load(spark, d, "unit_vectors").where("channel IN ('code', 'docs')").select("embedding_key", "profile_key")
+    return load(spark, d, "vectors").select("embedding_key", "profile_key", "role").distinct().join(live, ["embedding_key", "profile_key"], "left_anti")
 
 
 def a15_daily(spark, d):
@@ -90,13 +90,6 @@ def a14_totals(spark, d):
     return load(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("total"), F.max("ts").alias("last"))
 
 
-def w8_retained(spark, d):
-    """Daily counts of the last ten days that have events."""
-    n = usage.daily_counts(load(spark, d, "events"))
-    last = Window.partitionBy()  # one row a day and type
-    return n.withColumn("newest", F.max("day").over(last)).where(F.datediff("newest", "day") < 10).select("day", "event_type", "n")
-
-
 def i9_sessions(spark, d):
     """Sessions of users, ended by two quiet hours."""
     return usage.sessions(load(spark, d, "events"), "user_id", "2 hours")
@@ -119,10 +112,9 @@ ORACLES = {
  SELECT *, entries - vectors AS pending, CASE WHEN entries = 0 THEN 'empty' WHEN entries > vectors THEN 'pending' ELSE 'ready' END AS state FROM m""",
     "f22_missing": "SELECT unit_id, channel, embedding_key FROM (SELECT DISTINCT * FROM unit_vectors) ANTI JOIN vectors USING (embedding_key, profile_key)",
     "j12_fanout": "SELECT embedding_key, channel, count(*) AS n_units, min(unit_id) AS first_unit FROM (SELECT DISTINCT embedding_key, channel, unit_id FROM unit_vectors) GROUP BY 1, 2 HAVING count(*) > 1",
-    "j18_unreachable": "SELECT * FROM (SELECT DISTINCT embedding_key, profile_key, role FROM vectors) ANTI JOIN unit_vectors USING (embedding_key)",
+    "j18_unreachable": "SELECT * FROM (SELECT DISTINCT embedding_key, profile_key, role FROM vectors) ANTI JOIN (SELECT * FROM unit_vectors WHERE channel IN ('code', 'docs')) USING (embedding_key, profile_key)",
     "a15_daily": _DAILY, "i9_stream": _DAILY,
     "a14_totals": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total, max(ts) AS last FROM events GROUP BY 1",
-    "w8_retained": f"SELECT day, event_type, n FROM ({_DAILY}) WHERE day > (SELECT max(CAST(ts AS DATE)) FROM events) - 10",
     "i9_sessions": """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
  g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM g GROUP BY user_id, k""",
 }

@@ -53,3 +53,21 @@ def export_csv(df: DataFrame, path: str) -> None:
 def export_jsonl(df: DataFrame, path: str) -> None:
     """One JSON object per row; absent values are left out."""
     df.write.json(path)
+
+
+def export_json_array(df: DataFrame, path: str, limit: int) -> None:
+    """One JSON array of at most ``limit`` rows, for reports; more rows are an error."""
+    rows = df.limit(limit + 1).toJSON().collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows: use JSON lines")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("[" + ",\n".join(rows) + "]\n")
+
+
+def read_subset(spark: SparkSession, root: str, repo: str, paths: DataFrame, rules: list[str] | None = None, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+    """As ``read_tree``, only for the paths (path) of a table; a folder's path stands for all below it."""
+    files, bad = read_tree(spark, root, repo, rules, max_bytes)
+    parts = F.split("path", "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    keep = lambda df: df.withColumn("_p", F.explode(prefixes)).join(paths.select(F.col("path").alias("_p")).distinct(), "_p", "left_semi").drop("_p").distinct()
+    return keep(files), keep(bad)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.operators.snapshots import SnapshotStore
@@ -51,3 +51,18 @@ def sessions(events: DataFrame, user: str, gap: str) -> DataFrame:
     at = events.where("ts IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp"))
     s = at.groupBy(user, F.session_window("ts", gap).alias("w")).agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("n"))
     return s.select(user, "started", "ended", "n")
+
+
+def record(spark: SparkSession, root: str, rows: list[tuple[str, bool, int, int]]) -> None:
+    """Append usage events (command, success, duration_ms, results) with the time of writing; appends of several writers do not collide."""
+    df = spark.createDataFrame(rows, "command string, success boolean, duration_ms long, results long")
+    df.withColumn("ts", F.current_timestamp()).write.mode("append").parquet(root)
+
+
+def history(spark: SparkSession, root: str, days: int = 90) -> tuple[DataFrame, DataFrame]:
+    """(daily counters of the last ``days`` days up to the newest, lifetime counters) of recorded events by command."""
+    e = spark.read.parquet(root).withColumn("day", F.to_date("ts"))
+    counters = [F.count("*").alias("runs"), F.count_if("success").alias("succeeded"), F.sum("duration_ms").alias("duration_ms"), F.sum("results").alias("results")]
+    newest = e.agg(F.max("day").alias("newest"))
+    daily = e.join(F.broadcast(newest), F.datediff("newest", "day") < days).groupBy("day", "command").agg(*counters)  # one row
+    return daily, e.groupBy("command").agg(*counters)

@@ -109,3 +109,17 @@ def test_rows(spark):
     key = [r for r in got if r.key is None and r.what == "declaration"]
     assert [(r.name, r.start_byte, r.end_byte, r.start_line, r.end_column) for r in key] == [("é", 1, 8, 1, 9)]
     assert extracted(df.limit(0)).count() == 0
+
+
+def test_uses(spark):
+    from strataloom.operators.callgraph import resolved_references
+    from strataloom.extract.tables import kind_of
+
+    files = {"a.py": "from b import LIMIT as top, other\n\nSIZE = 3\n\ndef f(other):\n    x = SIZE + top\n    return other\n\ndef g():\n    SIZE = 1\n    return SIZE, f\n", "b.py": "LIMIT = 1\n\ndef other():\n    return LIMIT\n"}
+    p = parse(files["a.py"], "python")
+    assert {(o, n) for _, o, n in p.uses} == {(1, "SIZE"), (1, "top"), (2, "f")}
+    t = spark.createDataFrame([("r", k, "python", v) for k, v in files.items()], "repo string, path string, language string, source string")
+    rows = extracted(t, "path")
+    of = lambda what: t.select("repo", "path", "language").join(kind_of(rows, what), t.path == rows.key).drop("key")
+    got = resolved_references(of("declaration"), of("use"), of("import"))
+    assert {(r.src_path, r.src_id, r.dst_path, r.dst_id) for r in got.collect()} == {("a.py", 2, "a.py", 1), ("a.py", 2, "b.py", 1), ("a.py", 3, "a.py", 2), ("b.py", 2, "b.py", 1)}
