@@ -17,5 +17,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found}
 
-#: The search is approximate, so p2_found has no SQL: tests measure its recall against brute force.
-ORACLES: dict[str, str] = {}
+#: Brute force. The search is approximate: that it finds the same on the test tables says that their pairs lie where recall is high.
+ORACLES = {
+    "p2_found": """WITH d AS (SELECT profile_key, len(vector) AS n FROM vectors WHERE len(vector) > 0 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY profile_key ORDER BY count(*) DESC, n) = 1),
+ v AS (SELECT DISTINCT profile_key, embedding_key, CAST(vector AS DOUBLE[]) AS x FROM vectors JOIN d USING (profile_key) WHERE len(vector) = n AND embedding_key IS NOT NULL
+   AND len(list_filter(vector, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0 AND len(list_filter(vector, lambda e: e <> 0)) > 0),
+ c AS (SELECT a.profile_key, a.embedding_key, b.embedding_key AS neighbor_key, round(list_cosine_similarity(a.x, b.x), 4) AS c FROM v a JOIN v b ON a.profile_key = b.profile_key AND a.embedding_key <> b.embedding_key WHERE c >= 0.9)
+ SELECT embedding_key, neighbor_key FROM c QUALIFY row_number() OVER (PARTITION BY profile_key, embedding_key ORDER BY c DESC, neighbor_key) <= 5""",
+}
