@@ -249,8 +249,14 @@ def pairs(files: DataFrame, sources: DataFrame, callables: DataFrame) -> DataFra
 
 
 def delimited_sources(found: DataFrame, sources: DataFrame) -> DataFrame:
-    """Rows of ``documented_callables`` with ``source``, cut from the stored text by the lines of the function found."""
+    """Rows of ``documented_callables`` with ``source``, cut from the stored text by the lines of the function found.
+
+    Each text is split once, for the distinct spans that are wanted of it, however many files and
+    callables share them.
+    """
+    at = found.where("end_line IS NOT NULL").withColumn("of", F.substring_index("id", ":", 1))
+    spans = at.select("of", "start_line", "end_line").distinct().groupBy("of").agg(F.collect_list(F.struct("start_line", "end_line")).alias("spans"))  # at most the functions of a text
     text = sources.select(F.col("hash").alias("of"), F.split(F.regexp_replace("source", r"\r\n?", "\n"), "\n", -1).alias("rows"))
-    at = found.where("end_line IS NOT NULL").withColumn("of", F.substring_index("id", ":", 1)).join(text, "of")
-    source = F.array_join(F.slice("rows", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
-    return at.select(*found.columns, source.alias("source"))
+    part = lambda x: F.struct(x.start_line.alias("start_line"), x.end_line.alias("end_line"), F.array_join(F.slice("rows", x.start_line, x.end_line - x.start_line + 1), "\n").alias("source"))
+    cuts = spans.join(text, "of").select("of", F.explode(F.transform("spans", part)).alias("p")).select("of", "p.start_line", "p.end_line", "p.source")
+    return at.join(cuts, ["of", "start_line", "end_line"]).select(*found.columns, "source")
