@@ -33,7 +33,7 @@ def both(a, b):
 @pytest.mark.parametrize("block, most", [(1024, 1 << 16), (7, 1 << 16), (7, 15)])
 def test_reduced_hits(spark, tables, monkeypatch, block, most):
     q, u, v = tables
-    for name in ("best_query", "top_units"):
+    for name in ("best_query", "top_units", "best_in_channel"):
         f = getattr(knn, name)
         monkeypatch.setattr(knn, name, lambda *a, f=f: f(*a, most=most, block=block))
     hits = search.unit_hits(q, u, v.where("key IS NOT NULL"), 0.3).cache()
@@ -43,12 +43,15 @@ def test_reduced_hits(spark, tables, monkeypatch, block, most):
     for limit in (3, 1000):
         got, want = both(*(search.limited(h, ["unit_id"], limit, ["query_id"]).select(*columns, "rank", "omitted") for h in (search.top_hits(q, u, v, limit, 0.3), hits)))
         assert got == want and len(got) > 100
+    for channel in ("code", "docs", "symbols"):
+        got, want = both(search.channel_hits(q, u, v, channel, 0.3).select("unit_id", "score"), hits.where((F.col("channel") == channel) & F.col("unit_id").isNotNull()).groupBy("unit_id").agg(F.max("score")))
+        assert got == want and got
     none = q.limit(0)
-    assert search.merged_hits(none, u, v).count() == search.top_hits(none, u, v, 3).count() == 0
+    assert search.merged_hits(none, u, v).count() == search.top_hits(none, u, v, 3).count() == search.channel_hits(none, u, v, "docs").count() == 0
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-@pytest.mark.parametrize("name, blocks", [("a10_inspect", 0), ("a7_search", 0), ("j1_search", 0), ("u1_union", 2), ("a20_by_file", 0), ("t6_reranked", 0)])
+@pytest.mark.parametrize("name, blocks", [("a10_inspect", 0), ("a7_search", 0), ("j1_search", 0), ("u1_union", 2), ("a16_articles", 0), ("a20_by_file", 0), ("t6_reranked", 0)])
 def test_no_vectors_by_blocks(spark, name, blocks):
     """Vectors are not multiplied by the number of query blocks; the two left in u1_union search with three texts."""
     plan = plans.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
