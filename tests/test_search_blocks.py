@@ -51,7 +51,7 @@ def test_reduced_hits(spark, tables, monkeypatch, block, most):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-@pytest.mark.parametrize("name, blocks", [("a10_inspect", 0), ("a7_search", 0), ("j1_search", 0), ("u1_union", 2), ("a16_articles", 0), ("a20_by_file", 0), ("t6_reranked", 0)])
+@pytest.mark.parametrize("name, blocks", [("a10_inspect", 0), ("a7_search", 0), ("j1_search", 0), ("u1_union", 2), ("a16_articles", 0), ("f24_expanded", 0), ("a20_by_file", 0), ("t6_reranked", 0)])
 def test_no_vectors_by_blocks(spark, name, blocks):
     """Vectors are not multiplied by the number of query blocks; the two left in u1_union search with three texts."""
     plan = plans.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
